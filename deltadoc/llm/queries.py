@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from deltadoc.llm.bitplane import op9_bitplane
+from deltadoc.llm.langid import op4_langid
+from deltadoc.llm.media import op2_ogg
+from deltadoc.llm.mixing import op10_mixing
 from deltadoc.llm.packing import op1_packing
+from deltadoc.llm.quality import op5_quality
+from deltadoc.llm.urltree import op7_urltree
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_ogg": op2_ogg,
+    "op4_langid": op4_langid,
+    "op5_quality": op5_quality,
+    "op7_urltree": op7_urltree,
     "op9_bitplane": op9_bitplane,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
