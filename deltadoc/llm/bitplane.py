@@ -191,9 +191,9 @@ def write_shards(
             writer = None
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.slices(texts):
-                for doc_id, data in zip(ids[a:b], encode_texts(texts[a:b], end_id)):
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in tokens.slices(batch.column(1)):
+                for doc_id, data in zip(ids[a:b], encode_texts(texts, end_id)):
                     if writer is None:
                         writer = ShardWriter(part, first, mode, block_ids)
                     writer.add(doc_id, data)

@@ -218,9 +218,9 @@ def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, found = b.column(b.schema.get_field_index("text")).to_pylist(), []
-            for a, z in slices(texts):
-                found += net.predict(texts[a:z])
+            found: list[tuple[str, float]] = []
+            for _, _, texts in slices(b.column(b.schema.get_field_index("text"))):
+                found += net.predict(texts)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                 names=[*b.schema.names, "lang_pred", "score"],

@@ -72,10 +72,9 @@ def pieces(docs: DataFrame, *, room: int = SEQUENCE, vocabulary: str | None = No
         encode = tokens.encoder(vocabulary)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = []
-            for a, b in tokens.slices(texts):
-                for doc_id, data in zip(ids[a:b], encode(texts[a:b], end_id)):
+            ids, rows = batch.column(0).to_pylist(), []
+            for a, b, texts in tokens.slices(batch.column(1)):
+                for doc_id, data in zip(ids[a:b], encode(texts, end_id)):
                     for at in range(0, len(data), 4 * room):
                         piece = data[at : at + 4 * room]
                         rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4))

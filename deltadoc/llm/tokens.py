@@ -8,12 +8,23 @@ Each worker keeps the pieces that it has met; only new ones reach the tokenizer.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
+CALL_WORDS = 4000
+WORD_END = "</w>"
+SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Finds characters beyond those whose lower case is one character whatever its neighbours are.
+_not_simple = re.compile("[^\0-\u012f\u0131-\u024f]").search
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -27,25 +38,63 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self._ends[[i for k, i in vocabulary.items() if k.endswith(WORD_END)]] = True
         self._cache: dict[str, bytes] = {"": b""}
         self._most = cache_pieces
 
     def __call__(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
         """Ids of each text with ``end_id`` after the last; null is an empty text."""
         split = [
-            (t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if t else []
+            (t if _not_simple(t) else t.lower()).replace("\n", " ").split(" ") if t else []
             for t in texts
         ]
-        new = list(set().union(*split).difference(self._cache))
+        new = set().union(*split).difference(self._cache)
         if len(self._cache) + len(new) > self._most:
-            self._cache = {"": b""}
-            new = list(set().union(*split).difference(self._cache))
-        pack = struct.pack
-        for piece, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self._cache[piece] = pack(f"<{len(e.ids)}I", *e.ids)
-        get, end = self._cache.__getitem__, pack("<I", end_id)
+            self._cache = dict(islice(self._cache.items(), self._most * 2 // 3))  # the first met are the commonest
+            new = set().union(*split).difference(self._cache)
+        if new:
+            self._learn(new)
+        get, end = self._cache.__getitem__, struct.pack("<I", end_id)
         return [b"".join(map(get, pieces)) + end for pieces in split]
 
+    def _learn(self, new: set[str]) -> None:
+        """Ids of pieces that aren't in the cache. Symbols after a letter or digit are a word of their own."""
+        cache, parts = self._cache, []
+        for piece in new:
+            base = piece.rstrip(SYMBOLS)
+            if base != piece and base[-1:].isalnum() and not _not_simple(base[-1]):
+                parts.append((piece, base, piece[len(base) :]))
+        need = new.difference(p for p, _, _ in parts).union(b for _, b, _ in parts).union(t for _, _, t in parts)
+        need = need.difference(cache)
+        words = [p for p in need if p.isalpha()]
+        cache.update(zip(words, self._words(words)))
+        rest = [p for p in need if not p.isalpha()]
+        cache.update(zip(rest, self._each(rest)))
+        for piece, base, tail in parts:
+            cache[piece] = cache[base] + cache[tail]
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [
+            struct.pack(f"<{len(e.ids)}I", *e.ids)
+            for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        ]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """One call for many words of letters only: each ends with its one word-ending id."""
+        if len(words) > CALL_WORDS:
+            return [x for a in range(0, len(words), CALL_WORDS) for x in self._words(words[a : a + CALL_WORDS])]
+        if not words:
+            return []
+        ids = self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.array(ids, dtype="<u4")
+        ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+        if len(ends) != len(words):  # a letter whose lower case holds a mark
+            return self._each(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
 
 def vocabulary_path(path: str | None = None) -> str:
     if path:
@@ -63,14 +112,14 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[path]
 
 
-def slices(texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of at most ``most_chars`` characters, or of one longer text."""
+def slices(texts: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of rows of at most ``most_bytes``, or of one longer text, with their texts as strings."""
     begin = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > begin and size + n > most_chars:
-            yield begin, i
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for i, n in enumerate(sizes):
+        if i > begin and size + n > most_bytes:
+            yield begin, i, texts.slice(begin, i - begin).to_pylist()
             begin, size = i, 0
         size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes), texts.slice(begin).to_pylist()
