@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from deltadoc.llm.bitplane import op9_bitplane
+from deltadoc.llm.dartminhash import op8_dartminhash
 from deltadoc.llm.langid import op4_langid
 from deltadoc.llm.media import op2_ogg
 from deltadoc.llm.mixing import op10_mixing
 from deltadoc.llm.packing import op1_packing
+from deltadoc.llm.permindex import op6_permindex
 from deltadoc.llm.quality import op5_quality
 from deltadoc.llm.urltree import op7_urltree
 
@@ -15,7 +17,9 @@ QUERIES = {
     "op2_ogg": op2_ogg,
     "op4_langid": op4_langid,
     "op5_quality": op5_quality,
+    "op6_permindex": op6_permindex,
     "op7_urltree": op7_urltree,
+    "op8_dartminhash": op8_dartminhash,
     "op9_bitplane": op9_bitplane,
     "op10_mixing": op10_mixing,
 }
