@@ -207,14 +207,14 @@ def sample_windows(labelled: DataFrame, *, sample_docs: int = 2000, windows: int
     return x, y, languages
 
 
-def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """``docs`` (with ``text``) and lang_pred, score for each row; columns of these names are replaced."""
+def identify(docs: DataFrame, net: ByteNet, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (with ``text``) and language and score for each row; columns of these ``names`` are replaced."""
     from pyspark.sql import types as T
 
     from deltadoc.llm.tokens import slices
 
-    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = T.StructType([*keep, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    keep = [f for f in docs.schema.fields if f.name not in names]
+    schema = T.StructType([*keep, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
                 found += net.predict(texts)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                names=[*b.schema.names, "lang_pred", "score"],
+                names=[*b.schema.names, *names],
             )
 
     return docs.select(*[f"`{f.name}`" for f in keep]).mapInArrow(run, schema)

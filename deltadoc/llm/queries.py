@@ -11,10 +11,12 @@ from deltadoc.llm.packing import op1_packing
 from deltadoc.llm.permindex import op6_permindex
 from deltadoc.llm.quality import op5_quality
 from deltadoc.llm.urltree import op7_urltree
+from deltadoc.llm.warc import op3_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_ogg": op2_ogg,
+    "op3_warc": op3_warc,
     "op4_langid": op4_langid,
     "op5_quality": op5_quality,
     "op6_permindex": op6_permindex,
