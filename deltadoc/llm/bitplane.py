@@ -24,14 +24,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltadoc.llm import tokens
-from deltadoc.llm.common import shared_dir, written
+from deltadoc.llm.common import shared_dir
 
 MAGIC = b"BPSHUF01"
 PLANES = {"byte": 4, "bit": 32}
+MANIFEST = ("part", "shard", "first_id", "n_docs", "n_ids")
 
 
 def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -169,8 +170,9 @@ def write_shards(
 
     Range partitions are encoded and written by their own tasks; each shard gets a final name that
     depends only on its place and appears by a rename, so a task that runs twice leaves one file.
-    Null ids come first, equal ids in order of their texts, null texts are empty. Returns a row for each
-    shard: partition, shard, first_id (ids before it in its partition), n_docs, n_ids.
+    Null ids come first, equal ids in order of their texts, null texts are empty. The shards are written
+    when the result is first evaluated; it has a row for each: part, shard, first_id (ids before it in its
+    partition), n_docs, n_ids.
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +203,12 @@ def write_shards(
                         close()
         if writer is not None:
             close()
-        names = ["part", "shard", "first_id", "n_docs", "n_ids"]
-        yield pa.RecordBatch.from_pydict(
-            {n: pa.array([r[k] for r in made], pa.int64()) for k, n in enumerate(names)}
-        )
+        yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in made], pa.int64()) for k, n in enumerate(MANIFEST)})
 
     system, folder = _place(path)
     system.create_dir(folder, recursive=True)
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(encode, "part long, shard long, first_id long, n_docs long, n_ids long"))
+    return ordered.mapInArrow(encode, ", ".join(f"{n} long" for n in MANIFEST))
 
 
 def read_shards(spark, path: str) -> DataFrame:
@@ -240,11 +239,14 @@ def op9_bitplane(spark, sf_dir: str) -> DataFrame:
     """Writes all documents' ids as shards of byte planes, reads them back and sums them up."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = shared_dir(spark)
-    shards = write_shards(docs, path)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range partition
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    if shards.isEmpty():
+    sums = write_shards(docs, path).groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # as many rows as tasks
+    ahead, starts = 0, []
+    for row in sorted(sums):
+        starts.append((row.part, ahead))
+        ahead += row.n
+    if not starts:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = spark.createDataFrame(starts, "part long, ahead long")
     return read_shards(spark, path).select(
         "doc_id", "part", "first_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     ).join(parts, "part").select("doc_id", (F.col("first_id") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32")
