@@ -11,8 +11,8 @@ Documents with equal words are one class from the start. Bands of coordinates gi
 
 1. Each bucket is a star around its member that meets most others in all of its buckets. Stars' edges of
    similar signatures are checked on the whole sets of shingles; links give components.
-2. Where a bucket still holds several components, its members of different components are compared by
-   signature, in blocks of bounded size, and similar ones are checked in the same way.
+2. Where a bucket still holds several components, its members of different components are compared in
+   blocks of bounded size, by signature and then by their sets, and similar ones are checked in the same way.
 
 So a group of copies costs a star, not all pairs, and yet no candidate pair of different components is left out.
 """
@@ -246,32 +246,46 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("class_id")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("class_id")).distinct())
 
 
-def across(members: DataFrame, sigs: DataFrame, least: float, block: int = 512) -> DataFrame:
-    """Pairs (a < b) of a bucket (bucket, doc_id, class_id) in different classes whose signatures are alike.
+def across(members: DataFrame, sigs: DataFrame, docs: DataFrame, similarity: float, margin: float, block: int = 512) -> DataFrame:
+    """Similar pairs (a < b) of a bucket (bucket, doc_id, class_id) in different classes.
 
     A bucket is cut into blocks of about ``block`` members; each two blocks are compared by a task that
-    holds nothing else.
+    holds nothing else. A pair is looked at in the first band that it shares only: first its signatures,
+    then, if those are alike, the sets of shingles (by hashes of 32 bits, so ``checked`` has the last word).
     """
     sized = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
     rows = members.join(sized, "bucket").withColumn("_i", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int"))
-    rows = rows.join(sigs.select("doc_id", "sig"), "doc_id")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select("doc_id").distinct(), "doc_id")
+    rows = rows.join(sigs.select("doc_id", "sig", "bands").join(_sets(some), "doc_id"), "doc_id")
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.select("bucket", F.least("_i", "_j").alias("_x"), F.greatest("_i", "_j").alias("_y"), "_i", "doc_id", "class_id", "sig")
+    rows = rows.select("bucket", F.least("_i", "_j").alias("_x"), F.greatest("_i", "_j").alias("_y"), "_i", "doc_id", "class_id", "sig", "bands", "own")
     rows = rows.repartition("bucket", "_x", "_y").sortWithinPartitions("bucket", "_x", "_y", "doc_id")
 
     def compare(part: pa.Table) -> Iterator[tuple[int, int]]:
-        x, y = part.column("_x")[0].as_py(), part.column("_y")[0].as_py()
+        bucket, x, y = (part.column(n)[0].as_py() for n in ("bucket", "_x", "_y"))
         ids, cls, i = (part.column(n).to_numpy() for n in ("doc_id", "class_id", "_i"))
         sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = part.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        own = [np.frombuffer(s, "<u4") for s in part.column("own").to_pylist()]
         left, right = np.flatnonzero(i == x), np.flatnonzero(i == y)
         for a in range(0, len(left), 64):
             p = left[a : a + 64]
-            near = alike(sig[p][:, None, :], sig[right][None, :, :]) >= least
-            near &= (cls[p][:, None] != cls[right][None, :]) & (ids[p][:, None] != ids[right][None, :])
+            near = (cls[p][:, None] != cls[right][None, :]) & (ids[p][:, None] != ids[right][None, :])
             if x == y:
                 near &= ids[p][:, None] < ids[right][None, :]
-            for u, v in zip(*np.nonzero(near)):
-                yield tuple(sorted((int(ids[p[u]]), int(ids[right[v]]))))
+            if not near.any():
+                continue
+            near &= alike(sig[p][:, None, :], sig[right][None, :, :]) >= similarity - margin
+            first = (bands[p][:, None, :] == bands[right][None, :, :]).argmax(axis=2)
+            near &= bands[p][np.arange(len(p))[:, None], first] == bucket
+            for u in np.flatnonzero(near.any(axis=1)):
+                mine, some = own[p[u]], right[near[u]]
+                sizes = np.array([len(own[v]) for v in some])
+                theirs = np.concatenate([own[v] for v in some])
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(sizes) - sizes)
+                for v in some[both >= (similarity - 0.005) * (len(mine) + sizes - both)]:
+                    yield tuple(sorted((int(ids[p[u]]), int(ids[v]))))
 
     def run(batches):
         held: pa.Table | None = None
@@ -291,12 +305,28 @@ def across(members: DataFrame, sigs: DataFrame, least: float, block: int = 512)
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc_id and ``own``: its distinct shingles as sorted hashes of 32 bits. Texts without words are left out."""
+
+    def run(batches):
+        for x in batches:
+            ids = x.column(0).to_pylist()
+            for a, z, texts in slices(x.column(1)):
+                doc, element, _ = weighted(*shingles([words_of(t) for t in texts]), "set")
+                edge = np.searchsorted(doc, np.arange(z - a + 1))
+                sets = [np.unique(element[edge[k] : edge[k + 1]].astype("<u4")).tobytes() for k in range(z - a)]
+                some = [(i, s) for i, s in zip(ids[a:z], sets) if s]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in some], pa.int64()), "own": pa.array([s for _, s in some], pa.binary())})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, own binary").dropDuplicates(["doc_id"])
+
+
 def _pairs(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
     found = list(dict.fromkeys(pairs))
     return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, k: int = K, rows: int = ROWS, margin: float = 0.2, weights: str = "set") -> DataFrame:
+def near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, k: int = K, rows: int = ROWS, margin: float = 0.15, weights: str = "set") -> DataFrame:
     """doc_id, exact_id and class_id of each row of ``docs`` (doc_id, text).
 
     exact_id is the least id with the same words, class_id the least id of the component of links. Null ids
@@ -318,9 +348,8 @@ def near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, k: int = K,
     first = components(links)
     classed = members.join(first, "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     mixed = classed.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo != hi").select("bucket")
-    more = across(written(classed.join(mixed, "bucket")), sigs, similarity - margin)
-    seen = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = written(checked(written(more.join(seen, ["a", "b"], "left_anti")), docs, similarity))
+    more = across(written(classed.join(mixed, "bucket")), sigs, docs, similarity, margin)
+    late = written(checked(written(more), docs, similarity))
     final = components(links.unionByName(late)) if not late.isEmpty() else first
     out = signed.select("doc_id", "words_key").join(exact, "words_key", "left")
     out = out.select("doc_id", F.coalesce("exact_id", "doc_id").alias("exact_id")).join(final.withColumnRenamed("doc_id", "exact_id"), "exact_id", "left")
