@@ -190,36 +190,32 @@ def _similar(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "_sa", "_sb").mapInArrow(run, "a long, b long")
 
 
-def checked(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, star: int = 256) -> DataFrame:
-    """Pairs (a, b) whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+def checked(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, star: int = 256) -> DataFrame:
+    """Pairs (a, b) whose ``sets`` of shingles have a Jaccard similarity of at least ``similarity``.
 
-    A pair's first document is sent once for each ``star`` of its pairs, its second one once a pair.
+    A pair's first set is sent once for each ``star`` of its pairs, its second one once a pair. Both sides of
+    these joins grow with the corpus, so they are merged and never broadcast.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    sets = sets.select(F.col("doc_id").alias("_id"), "own").hint("merge")
     stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / star).cast("int").alias("_n"))
     rays = pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_n")).cast("int").alias("_s"))
-    rays = rays.join(texts, F.col("b") == F.col("_id")).select("a", "_s", "b", "text")
-    centres = stars.join(texts, F.col("a") == F.col("_id")).select("a", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.lit(None).cast("long").alias("b"), "text")
+    rays = rays.join(sets, F.col("b") == F.col("_id")).select("a", "_s", "b", "own")
+    centres = stars.join(sets, F.col("a") == F.col("_id")).select("a", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.lit(None).cast("long").alias("b"), "own")
     rows = centres.unionByName(rays).repartition("a", "_s").sortWithinPartitions("a", "_s", F.col("b").asc_nulls_first())
 
     def run(batches):
-        centre, own = None, np.empty(0, np.uint64)
+        centre, mine = None, np.empty(0, "<u4")
         for x in batches:
-            a, s, b = (x.column(i).to_pylist() for i in range(3))
             found = []
-            for begin, end, part in slices(x.column(3)):
-                doc, element, _ = weighted(*shingles([words_of(t) for t in part]), "set")
-                edge = np.searchsorted(doc, np.arange(end - begin + 1))
-                for r in range(begin, end):
-                    its = element[edge[r - begin] : edge[r - begin + 1]]
-                    if b[r] is None:
-                        centre, own = (a[r], s[r]), its
-                    elif centre == (a[r], s[r]) and len(its) and len(own):
-                        at = np.minimum(np.searchsorted(own, its), len(own) - 1)
-                        both = int((own[at] == its).sum())
-                        if both >= similarity * (len(own) + len(its) - both) - 1e-9:
-                            found.append((a[r], b[r]))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+            for a, s, b, own in zip(*(x.column(i).to_pylist() for i in range(3)), x.column(3)):
+                its = np.frombuffer(own.as_py(), "<u4")
+                if b is None:
+                    centre, mine = (a, s), its
+                elif centre == (a, s):
+                    both = int((mine[np.minimum(np.searchsorted(mine, its), len(mine) - 1)] == its).sum())
+                    if both >= similarity * (len(mine) + len(its) - both) - 1e-9:
+                        found.append((a, b))
+            yield _pairs(found)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -246,17 +242,16 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("class_id")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("class_id")).distinct())
 
 
-def across(members: DataFrame, sigs: DataFrame, docs: DataFrame, similarity: float, margin: float, block: int = 512) -> DataFrame:
+def across(members: DataFrame, sigs: DataFrame, sets: DataFrame, similarity: float, margin: float, block: int = 512) -> DataFrame:
     """Similar pairs (a < b) of a bucket (bucket, doc_id, class_id) in different classes.
 
     A bucket is cut into blocks of about ``block`` members; each two blocks are compared by a task that
     holds nothing else. A pair is looked at in the first band that it shares only: first its signatures,
-    then, if those are alike, the sets of shingles (by hashes of 32 bits, so ``checked`` has the last word).
+    then, if those are alike, its ``sets`` of shingles.
     """
     sized = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
     rows = members.join(sized, "bucket").withColumn("_i", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int"))
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select("doc_id").distinct(), "doc_id")
-    rows = rows.join(sigs.select("doc_id", "sig", "bands").join(_sets(some), "doc_id"), "doc_id")
+    rows = rows.join(sigs.select("doc_id", "sig", "bands"), "doc_id").join(sets.hint("merge"), "doc_id")
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.select("bucket", F.least("_i", "_j").alias("_x"), F.greatest("_i", "_j").alias("_y"), "_i", "doc_id", "class_id", "sig", "bands", "own")
     rows = rows.repartition("bucket", "_x", "_y").sortWithinPartitions("bucket", "_x", "_y", "doc_id")
@@ -284,7 +279,7 @@ def across(members: DataFrame, sigs: DataFrame, docs: DataFrame, similarity: flo
                 theirs = np.concatenate([own[v] for v in some])
                 at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
                 both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(sizes) - sizes)
-                for v in some[both >= (similarity - 0.005) * (len(mine) + sizes - both)]:
+                for v in some[both >= similarity * (len(mine) + sizes - both) - 1e-9]:
                     yield tuple(sorted((int(ids[p[u]]), int(ids[v]))))
 
     def run(batches):
@@ -305,7 +300,7 @@ def across(members: DataFrame, sigs: DataFrame, docs: DataFrame, similarity: flo
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id and ``own``: its distinct shingles as sorted hashes of 32 bits. Texts without words are left out."""
 
     def run(batches):
@@ -344,12 +339,13 @@ def near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, k: int = K,
     stars = members.join(met, "doc_id").groupBy("bucket").agg((-F.max(F.struct("met", (-F.col("doc_id")).alias("id"))).getField("id")).alias("a"))
     rays = members.join(stars, "bucket").where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     near = written(_similar(rays, sigs, similarity - margin))
-    links = written(checked(near, docs, similarity))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select("doc_id").distinct().hint("merge"), "doc_id")
+    sets = written(sets_of(texts))
+    links = written(checked(near, sets, similarity))
     first = components(links)
     classed = members.join(first, "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     mixed = classed.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo != hi").select("bucket")
-    more = across(written(classed.join(mixed, "bucket")), sigs, docs, similarity, margin)
-    late = written(checked(written(more), docs, similarity))
+    late = written(across(written(classed.join(mixed, "bucket")), sigs, sets, similarity, margin))
     final = components(links.unionByName(late)) if not late.isEmpty() else first
     out = signed.select("doc_id", "words_key").join(exact, "words_key", "left")
     out = out.select("doc_id", F.coalesce("exact_id", "doc_id").alias("exact_id")).join(final.withColumnRenamed("doc_id", "exact_id"), "exact_id", "left")
