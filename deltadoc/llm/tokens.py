@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHE_PIECES = 250_000
+CACHE_PIECES = 300_000
 CALL_WORDS = 4000
 WORD_END = "</w>"
 SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -50,10 +50,11 @@ class Encoder:
             (t if _not_simple(t) else t.lower()).replace("\n", " ").split(" ") if t else []
             for t in texts
         ]
-        new = set().union(*split).difference(self._cache)
+        met = set().union(*split)
+        new = met.difference(self._cache)
         if len(self._cache) + len(new) > self._most:
             self._cache = dict(islice(self._cache.items(), self._most * 2 // 3))  # the first met are the commonest
-            new = set().union(*split).difference(self._cache)
+            new = met.difference(self._cache)
         if new:
             self._learn(new)
         get, end = self._cache.__getitem__, struct.pack("<I", end_id)
@@ -68,9 +69,11 @@ class Encoder:
                 parts.append((piece, base, piece[len(base) :]))
         need = new.difference(p for p, _, _ in parts).union(b for _, b, _ in parts).union(t for _, _, t in parts)
         need = need.difference(cache)
-        words = [p for p in need if p.isalpha()]
+        plain, words, rest = [], [], []
+        for p in need:
+            (rest if not p.isalpha() else plain if p.isascii() and p.islower() else words).append(p)
+        cache.update(zip(plain, self._plain(plain)))
         cache.update(zip(words, self._words(words)))
-        rest = [p for p in need if not p.isalpha()]
         cache.update(zip(rest, self._each(rest)))
         for piece, base, tail in parts:
             cache[piece] = cache[base] + cache[tail]
@@ -81,6 +84,11 @@ class Encoder:
             for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         ]
 
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Words that the normalizer and the pre-tokenizer leave as they are go to the model at once."""
+        split = self._tokenizer.model.tokenize
+        return [struct.pack(f"<{len(x)}I", *x) for x in ([t.id for t in split(w)] for w in words)]
+
     def _words(self, words: list[str]) -> list[bytes]:
         """One call for many words of letters only: each ends with its one word-ending id."""
         if len(words) > CALL_WORDS:
@@ -112,7 +120,7 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[path]
 
 
-def slices(texts: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
+def slices(texts: pa.Array, most_bytes: int = 300_000) -> Iterator[tuple[int, int, list[str | None]]]:
     """Ranges of rows of at most ``most_bytes``, or of one longer text, with their texts as strings."""
     begin = size = 0
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
