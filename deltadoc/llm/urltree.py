@@ -71,7 +71,7 @@ def templates(paths: DataFrame, *, support: int = 5, share: float = 0.01, merge_
 def _merged(rows: DataFrame, level: int) -> DataFrame:
     """Segments at ``level`` renamed to the largest sibling that they are like."""
     place = ["host", "_above", "_seg"]
-    rows = written(rows.withColumn("_above", F.concat_ws("/", F.slice("segs", 1, level - 1))).withColumn("_seg", F.element_at("segs", level)))
+    rows = written(rows.withColumn("_above", F.concat_ws("/", F.slice("segs", 1, level - 1))).withColumn("_seg", F.get("segs", F.lit(level - 1))))
     below = F.concat_ws("/", F.slice("segs", level + 1, DEPTH))
     cells = rows.where("_seg is not null").groupBy(*place, below.alias("_below")).agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "bad")])
     branch = cells.groupBy(*place).agg(*[F.sum(c).alias(f"_{c}") for c in ("pages", "labelled", "bad")], F.count("*").alias("_kinds"))
