@@ -26,4 +26,35 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Exact links between all pairs of documents that share a shingle, and their components.
+_NEAR_COPIES = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(ws) - 4) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS sh FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE k >= 0.8 * (na.c + nb.c - k) - 1e-9),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id),
+c AS (SELECT id, min(root) AS class_id FROM r GROUP BY id)
+SELECT doc_id, CASE WHEN len(ws) > 0 THEN min(doc_id) OVER (PARTITION BY array_to_string(ws, ' ')) ELSE doc_id END AS exact_id, class_id FROM w JOIN c ON id = doc_id"""
+
+#: The same schedule and blocks by windows over whole sources.
+_MIXING = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':7') AS k FROM documents),
+a AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
+b AS (SELECT *, CAST([3, 1, 2][(sid - 1) % 3 + 1] AS DOUBLE) AS w, sum(n) OVER () AS total FROM a),
+f AS (SELECT *, (total * 1.5 - coalesce(sum(n * 2) OVER (ORDER BY n * 2 / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY n * 2 / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM b),
+t AS (SELECT sid, source, n, least(n * 2, (SELECT arg_min(level, (n * 2 / w, sid)) FROM f WHERE level <= n * 2 / w) * w) AS target FROM f),
+g AS (SELECT *, (sum(target) OVER (ORDER BY sid) - target) / sum(target) OVER () AS low, CASE WHEN sid = max(sid) OVER () THEN 2.0 ELSE sum(target) OVER (ORDER BY sid) / sum(target) OVER () END AS high FROM t),
+i AS (SELECT i, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS u FROM (SELECT unnest(range(1, (SELECT CAST(floor(1.05 * 1.5 * sum(size) / 128) AS BIGINT) + 50 * (count(DISTINCT source) + 1) + 1 FROM d))) AS i)),
+m AS (SELECT sid, n, target, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS rank FROM i JOIN g ON u >= low AND u < high),
+c AS (SELECT sid, rank % CAST(ceil(n / 128) AS BIGINT) AS block, count(*) AS copies FROM m WHERE rank < floor(target / 128 + 0.5) GROUP BY ALL),
+q AS (SELECT doc_id, size, sid, n, target, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+z AS (SELECT *, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM q WHERE size > 0),
+y AS (SELECT doc_id, z.sid, start, sum(coalesce(copies, 0) * (least(start + size, (z.block + 1) * 128) - greatest(start, z.block * 128))) AS taken FROM z LEFT JOIN c ON c.sid = z.sid AND c.block = z.block GROUP BY ALL)
+SELECT q.doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN y ON y.sid = q.sid AND y.start = q.start AND y.doc_id IS NOT DISTINCT FROM q.doc_id AND size > 0"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_dartminhash": _NEAR_COPIES,
+    "op10_mixing": _MIXING,
+}
