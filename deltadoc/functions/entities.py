@@ -156,10 +156,26 @@ def obligation_spans(text: str) -> Iterator[tuple]:
         yield _row("OBLIGATION", m, text=m["modality"].lower(), unit="modality", confidence=0.9, actor=actor, rest=rest, action=action[0].strip().lower() if action else "")
 
 
+_digit = re.compile(r"\d", re.A)
+_sums, _times = ("naira", "dollar", "pound", "euro"), ("day", "week", "month", "year", "hour")
+
+
 def _spans(text: str | None, day_first: bool) -> list[tuple]:
-    if not text:
-        return []
-    return [*money_spans(text), *percent_spans(text), *date_spans(text, day_first), *duration_spans(text), *obligation_spans(text)]
+    """All values; what a pattern can't do without is looked for first, as that is much cheaper."""
+    low = (text or "").lower()
+    has = lambda words: any(w in low for w in words)
+    digits, found = bool(_digit.search(low)), []
+    if digits or has(_sums):
+        found += money_spans(text)
+    if "%" in low or "cent" in low:
+        found += percent_spans(text)
+    if digits:
+        found += date_spans(text, day_first)
+    if has(_times):
+        found += duration_spans(text)
+    if has(fixed.MODALITY_STRENGTH):
+        found += obligation_spans(text)
+    return found
 
 
 @pandas_udf(SPAN)

@@ -27,8 +27,9 @@ def fold(text: Column, unicode: bool = True) -> Column:
     Without ``unicode`` the text is taken to be in compatibility form already and no Python runs.
     """
     text = nfkc(text) if unicode else text
-    text = F.translate(text, fixed.QUOTES_FROM + fixed.DASHES_FROM + "​", fixed.QUOTES_TO + fixed.DASHES_TO)
-    return F.regexp_replace(text, "[     ]", " ")
+    plain = F.translate(text, fixed.QUOTES_FROM + fixed.DASHES_FROM + "\u200b", fixed.QUOTES_TO + fixed.DASHES_TO)
+    plain = F.regexp_replace(plain, "[\u00a0\u2007\u2009\u202f\u3000]", " ")
+    return F.when(text.rlike(r"[^\x00-\x7f]"), plain).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
