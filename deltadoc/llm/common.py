@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = conf.get("deltadoc.local.dir") or tempfile.mkdtemp(prefix="deltadoc-")
+        root = tempfile.mkdtemp(prefix="deltadoc-")
     return f"{root.rstrip('/')}/deltadoc-{uuid.uuid4().hex}"
 
 
