@@ -2,8 +2,9 @@
 
 Per host, paths become templates: runs of digits in a segment are one wildcard, and a segment that too few
 of its parent's pages have is ``*``. Sibling branches whose pages spread alike over the templates below
-them, and whose labels agree, are merged into the largest of them. A template's purity is the share of
-bad pages among its labelled ones, smoothed by a few pages of even odds; an impure one is rejected.
+them, and whose labels agree, are merged into the largest of them, at each level that has one below it,
+until no two are alike. A template's purity is the share of bad pages among its labelled ones, smoothed
+by a few pages of even odds; an impure one is rejected.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def shape(path: Column, depth: int = DEPTH) -> Column:
     return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(F.lit("<tail>")))).otherwise(parts)
 
 
-def templates(paths: DataFrame, *, support: int = 5, share: float = 0.01, merge_levels: int = 2, depth: int = DEPTH) -> DataFrame:
+def templates(paths: DataFrame, *, support: int = 5, share: float = 0.01, merge_levels: int = DEPTH - 1, depth: int = DEPTH) -> DataFrame:
     """host, shape and template of each row of ``paths`` (host, shape, pages, labelled, bad), with its counts.
 
     A literal segment stays where ``support`` pages and ``share`` of its parent's pages have it.
@@ -63,34 +64,54 @@ def templates(paths: DataFrame, *, support: int = 5, share: float = 0.01, merge_
     )
     rows = named.groupBy("host", "shape").agg(F.array_sort(F.collect_list(F.struct("level", "seg"))).alias("_s"))  # depth rows at most
     rows = paths.join(rows.withColumn("segs", F.col("_s.seg")).drop("_s"), ["host", "shape"])
-    for level in range(1, min(merge_levels, depth - 1) + 1):
-        rows = _merged(rows, level)
+    changed = True
+    while changed:
+        changed = False
+        for level in range(1, min(merge_levels, depth - 1) + 1):
+            while (merged := _merged(rows, level)) is not None:
+                rows, changed = merged, True
     return rows.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", "segs"))).drop("segs")
 
 
-def _merged(rows: DataFrame, level: int) -> DataFrame:
-    """Segments at ``level`` renamed to the largest sibling that they are like."""
-    place = ["host", "_above", "_seg"]
+def _merged(rows: DataFrame, level: int) -> DataFrame | None:
+    """Segments at ``level`` renamed to the largest sibling that they are like, or None where none are alike.
+
+    All siblings are compared. The largest branch takes in those that are like it, then the largest of the
+    others does, and so on; branches larger than all open ones that they are like take their turns at once.
+    """
+    place, pair = ["host", "_above", "_seg"], ["host", "_above", "_hi", "_lo"]
     rows = written(rows.withColumn("_above", F.concat_ws("/", F.slice("segs", 1, level - 1))).withColumn("_seg", F.get("segs", F.lit(level - 1))))
     below = F.concat_ws("/", F.slice("segs", level + 1, DEPTH))
     cells = rows.where("_seg is not null").groupBy(*place, below.alias("_below")).agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "bad")])
+    cells = written(cells)
     branch = cells.groupBy(*place).agg(*[F.sum(c).alias(f"_{c}") for c in ("pages", "labelled", "bad")], F.count("*").alias("_kinds"))
-    largest = branch.groupBy("host", "_above").agg(F.max(F.struct("_pages", "_seg", "_labelled", "_bad", "_kinds")).alias("_to"))
-    pivot = cells.join(largest, ["host", "_above"]).where("_seg = _to._seg").select("host", "_above", "_below", F.col("pages").alias("_a"))
-    pair = cells.join(branch, place).join(largest, ["host", "_above"]).where("_seg != _to._seg").join(pivot, ["host", "_above", "_below"], "left")
-    na, nb, a, b = F.col("_to._pages"), F.col("_pages"), F.col("_a"), F.col("pages")
+    end = lambda name: branch.select("host", "_above", F.col("_seg").alias(name), F.struct("_pages", "_seg", "_labelled", "_bad", "_kinds").alias(f"{name}s"))
+    pairs = end("_hi").join(end("_lo"), ["host", "_above"]).where("struct(_his._pages, _hi) > struct(_los._pages, _lo)")
+    na, nb, a, b = F.col("_his._pages"), F.col("_los._pages"), F.col("_a"), F.col("_b")
     ra, rb = F.sqrt(nb / na), F.sqrt(na / nb)
-    like = pair.groupBy(*place, "_pages", "_labelled", "_bad", "_kinds", "_to").agg(
-        F.sum(F.when(a.isNotNull(), (ra * a - rb * b) ** 2 / (a + b)).otherwise(na / nb * b)).alias("_x"),
-        F.coalesce(F.sum("_a"), F.lit(0)).alias("_both"), F.count("_a").alias("_shared"),
-    )
-    chi = F.col("_x") + nb / na * (na - F.col("_both"))
-    free = F.col("_kinds") + F.col("_to._kinds") - F.col("_shared") - 1
-    l1, l2 = F.col("_labelled"), F.col("_to._labelled")
-    p = (F.col("_bad") + F.col("_to._bad")) / (l1 + l2)
-    gap = F.abs(F.col("_bad") / l1 - F.col("_to._bad") / l2)
+    l1, l2 = F.col("_los._labelled"), F.col("_his._labelled")
+    p = (F.col("_los._bad") + F.col("_his._bad")) / (l1 + l2)
+    gap = F.abs(F.col("_los._bad") / l1 - F.col("_his._bad") / l2)
     agree = F.when((l1 == 0) & (l2 == 0), True).when((l1 == 0) | (l2 == 0), False).otherwise(gap <= 2 * F.sqrt(p * (1 - p) * (1 / l1 + 1 / l2)))
-    renamed = like.where(agree & (chi <= free + 2 * F.sqrt(2.0 * free))).select(*place, F.col("_to._seg").alias("_new"))
+    pairs = pairs.where(agree)
+    cell = lambda name, n: cells.select("host", "_above", F.col("_seg").alias(name), "_below", F.col("pages").alias(n))
+    both = pairs.join(cell("_hi", "_a"), ["host", "_above", "_hi"]).join(cell("_lo", "_b"), ["host", "_above", "_lo", "_below"])
+    both = both.groupBy(*pair).agg(F.sum((ra * a - rb * b) ** 2 / (a + b)).alias("_x"), F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.count("*").alias("_shared"))
+    pairs = pairs.join(both, pair, "left").fillna(0, ["_x", "_a", "_b", "_shared"])
+    chi = F.col("_x") + nb / na * (na - a) + na / nb * (nb - b)
+    free = F.col("_his._kinds") + F.col("_los._kinds") - F.col("_shared") - 1
+    links = written(pairs.where(chi <= free + 2 * F.sqrt(2.0 * free)).select(*pair, na.alias("_pages")))
+    if links.isEmpty():
+        return None
+    at, lower, upper = ["host", "_above"], ["host", "_above", "_lo"], ["host", "_above", "_hi"]
+    closed, open_ = links.select(*lower).limit(0), links
+    while not open_.isEmpty():
+        first = open_.select(*upper).distinct().join(open_.select(*at, F.col("_lo").alias("_hi")), upper, "left_anti")
+        taken = written(open_.join(first, upper, "left_semi").select(*lower).distinct())
+        closed = closed.unionByName(taken)
+        open_ = written(open_.join(taken, lower, "left_anti").join(taken.withColumnRenamed("_lo", "_hi"), upper, "left_anti"))
+    to = links.join(closed, lower, "left_semi").join(closed.withColumnRenamed("_lo", "_hi"), upper, "left_anti")
+    renamed = to.groupBy(*lower).agg(F.max(F.struct("_pages", "_hi"))["_hi"].alias("_new")).withColumnRenamed("_lo", "_seg")
     out = rows.join(renamed, place, "left")
     segs = F.when(F.col("_new").isNull(), F.col("segs")).otherwise(F.concat(F.slice("segs", 1, level - 1), F.array("_new"), F.slice("segs", level + 1, DEPTH)))
     return out.withColumn("segs", segs).drop("_above", "_seg", "_new")
