@@ -1,8 +1,9 @@
 """Optimal one-to-one assignment of scored pairs.
 
 The total margin above a threshold is maximised, so a row may stay alone rather than take a poor partner.
-Pairs that rival no other pair are settled by joins; only rows with several candidates reach the solver,
-a connected group of candidates at a time.
+Pairs that rival no other pair are settled by joins; only rows with several candidates reach the solver.
+A group of few candidates reaches it whole, a larger one by its connected parts, with the same result. A part
+can't be split, and its matrix is dense.
 """
 
 from __future__ import annotations
@@ -12,6 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltadoc.operators.cut import cut
+
+#: Candidates up to which a group is solved whole.
+WHOLE = 1000
+
 
 def solve(margin: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of the greatest total margin; NaN marks pairs that can't be.
@@ -54,6 +60,31 @@ def solve(margin: np.ndarray) -> list[tuple[int, int]]:
     return [(r, int(c)) for r, c in enumerate(held) if 0 <= c < columns]
 
 
+def components(rest: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
+    """``rest`` with ``_part``, the same number for all pairs of a ``group`` that are linked by rivals.
+
+    Ends of pairs are nodes, even for ``a`` and odd for ``b``. Each round sends every node's neighbours to
+    the least of them, first the larger ones and then the smaller ones, until nothing changes.
+    """
+    node_a, node_b = F.col(a).cast("long") * 2, F.col(b).cast("long") * 2 + 1
+    at = lambda u, v: [*group, u.alias("_u"), v.alias("_v")]
+    u, v, m = F.col("_u"), F.col("_v"), F.col("_m")
+    edges, before = cut(rest.select(*at(F.greatest(node_a, node_b), F.least(node_a, node_b))).distinct()), None
+    while True:
+        both = edges.unionByName(edges.select(*at(v, u)))
+        least = both.groupBy(*group, "_u").agg(F.least(F.min("_v"), u).alias("_m"))
+        large = both.join(least, [*group, "_u"]).where("_v > _u").select(*at(v, m)).where("_u != _v").distinct()
+        low = large.groupBy(*group, "_u").agg(F.min("_v").alias("_m"))
+        small = large.join(low, [*group, "_u"]).select(*at(v, m))
+        edges = cut(small.unionByName(low.select(*at(u, m))).where("_u != _v").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64(*group, "_u", "_v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    parts = edges.select(*group, u.alias("_node"), v.alias("_part"))
+    return rest.withColumn("_node", node_a).join(parts, [*group, "_node"], "left").withColumn("_part", F.coalesce("_part", "_node")).drop("_node")
+
+
 def assign(scored: DataFrame, group: list[str], a: str, b: str, score: str, threshold: float) -> DataFrame:
     """The rows of ``scored`` that are assigned, one for each ``a`` and ``b`` of a ``group`` at most.
 
@@ -73,4 +104,9 @@ def assign(scored: DataFrame, group: list[str], a: str, b: str, score: str, thre
         kept = set(solve(margin))
         return frame[[(i, j) in kept for i, j in zip(at_a, at_b)]]
 
-    return lone.unionByName(rest.groupBy(*group).applyInPandas(pick, rest.schema))
+    rest = cut(rest)
+    wide = rest.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > WHOLE).drop("_n")
+    few = rest.join(wide, group, "left_anti").withColumn("_part", F.lit(0).cast("long"))
+    many = rest.join(wide, group, "left_semi")
+    parts = few if many.isEmpty() else few.unionByName(components(many, group, a, b).select(few.columns))
+    return lone.unionByName(parts.groupBy(*group, "_part").applyInPandas(pick, parts.schema).select(lone.columns))
