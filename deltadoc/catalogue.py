@@ -268,6 +268,14 @@ def identical_docs(spark, sf_dir):
     return a.join(b, "h").where("doc_a < doc_b").select("doc_a", "doc_b")
 
 
+@query(r"""SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS class_id FROM documents WHERE trim(text) <> ''""")
+def identical_classes(spark, sf_dir):
+    """Each document with the least id of those with the same normalized blocks; a row a document, not a pair."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text"), unicode=False).alias("normalized")).where("normalized != ''")
+    keyed = docs.select("doc_id", F.sha2("normalized", 256).alias("h"))
+    return keyed.join(keyed.groupBy("h").agg(F.min("doc_id").alias("class_id")), "h").select("doc_id", "class_id")
+
+
 @query("SELECT n_page AS page, CAST(count(*) AS BIGINT) AS paragraphs FROM (SELECT p_size AS n_page FROM part) GROUP BY n_page")
 def line_layout(spark, sf_dir):
     """Words of parts' names with positions, to lines and paragraphs: each part's line ends a sentence."""
@@ -410,11 +418,24 @@ def entity_jaccard(spark, sf_dir):
     return a.join(b, F.col("brand_a") <= F.col("brand_b")).select("brand_a", "brand_b", F.round(S.jaccard(F.col("ta"), F.col("tb")), 6).alias("jaccard"))
 
 
+def _with_next(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the ``value`` of the next row by ``key``, looked up within ranges of keys.
+
+    A range's last row gets the first value of the next range; only a row for each range meets in one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(n, key).withColumn("_range", F.spark_partition_id()))
+    first = ranged.groupBy("_range").agg(F.min_by(F.struct(value), key).alias("_first"))
+    first = first.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_first"))
+    order = Window.partitionBy("_range").orderBy(key)
+    held = ranged.withColumn("_next", F.lead(F.struct(value)).over(order)).join(F.broadcast(first), "_range")
+    return held.withColumn(name, F.coalesce("_next", "_first")[value]).drop("_range", "_next", "_first")
+
+
 @query()
 def text_ratios(spark, sf_dir):
     """Ratios of neighbouring parts' names."""
-    order = Window.orderBy("p_partkey")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.lead("p_name").over(order).alias("b")).where("b is not null")
+    rows = _with_next(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a")), "p_partkey", "a", "b").where("b is not null")
     col = F.col
     return rows.select("p_partkey", F.round(S.ratio(col("a"), col("b")), 6).alias("ratio"), F.round(S.token_sort_ratio(col("a"), col("b")), 6).alias("sorted"), F.round(S.token_set_ratio(S.word_set(col("a")), S.word_set(col("b"))), 6).alias("as_sets"), F.round(S.partial_ratio(col("a"), col("b")), 6).alias("partial"))
 

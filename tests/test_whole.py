@@ -1,5 +1,8 @@
 """Cases in which comparisons once did less than the whole job."""
 
+from pyspark.sql import functions as F
+
+from deltadoc import catalogue
 from deltadoc.operators import assign
 
 
@@ -15,3 +18,10 @@ def test_solver_gets_connected_parts(spark):
     got = {(r.a, r.b) for r in assign.assign(rows, ["g"], "a", "b", "s", 0.5).collect()}
     want = {p for k in range(400) for p in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k))} | {(1000 + k, 1000 + k) for k in range(50)}
     assert got == want
+
+
+def test_next_rows_without_a_task_for_all(spark):
+    rows = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1009).alias("k"), F.col("id").cast("string").alias("v"))
+    got = catalogue._with_next(rows, "k", "v", "w")
+    want = sorted((r.k, r.v) for r in rows.collect())
+    assert {r.k: r.w for r in got.collect()} == dict(zip([k for k, _ in want], [v for _, v in want[1:]] + [None]))
