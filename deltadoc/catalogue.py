@@ -529,3 +529,26 @@ def audit_trail(spark, sf_dir):
     return review.audit_trail(events, pairs).select("cmp_id", "event_id", "at_no")
 
 
+
+
+_LAST_ALL = _LAST.replace("user_id % 100", "user_id")
+
+
+@query(f"""SELECT CAST(a.c_custkey AS BIGINT) AS cmp_id, a.c_name AS filename_a, b.c_name AS filename_b, coalesce(t, 0) AS change_count, coalesce(v, 0) AS reviewed_count FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1
+ LEFT JOIN (SELECT cmp_id, CAST(count(*) AS BIGINT) AS t, CAST(count(*) FILTER (s <> 'unreviewed') AS BIGINT) AS v FROM {_LAST_ALL} GROUP BY cmp_id) ON cmp_id = a.c_custkey""")
+def comparison_listing_all(spark, sf_dir):
+    """Each customer with the next one; a user's reviews belong to the customer of that number."""
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.col("c_name").alias("filename"))
+    pairs = docs.select(F.col("doc_id").alias("cmp_id"), F.col("doc_id").alias("doc_a"), (F.col("doc_id") + 1).alias("doc_b"))
+    reviews = _reviews(spark, sf_dir).withColumn("cmp_id", F.col("change_id"))
+    rows = review.listing(pairs, docs, review.with_reviews(reviews.select("cmp_id", "change_id").distinct(), reviews))
+    return rows.select("cmp_id", "filename_a", "filename_b", "change_count", "reviewed_count")
+
+
+@query("""SELECT CAST(c.n AS BIGINT) AS cmp_id, event_id, CAST(row_number() OVER (PARTITION BY c.n ORDER BY ts, u, lpad(CAST(event_id AS VARCHAR), 12, '0')) AS INT) AS at_no FROM (SELECT DISTINCT user_id AS n FROM events) c JOIN (SELECT *, CAST(user_id AS VARCHAR) AS u FROM events) e ON user_id IN (c.n, c.n + 1)""")
+def audit_trail_all(spark, sf_dir):
+    """Each user's events with those of the next one; the last user's stand alone."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("cmp_id")).distinct()
+    pairs = users.select("cmp_id", F.col("cmp_id").alias("doc_a"), (F.col("cmp_id") + 1).alias("doc_b"))
+    events = table(spark, sf_dir, "events").select(F.lit("document").alias("subject_type"), F.col("user_id").cast("string").alias("subject_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("action"), F.col("ts").alias("at"), "event_id")
+    return review.audit_trail(events, pairs).select("cmp_id", "event_id", "at_no")

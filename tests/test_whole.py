@@ -25,3 +25,9 @@ def test_next_rows_without_a_task_for_all(spark):
     got = catalogue._with_next(rows, "k", "v", "w")
     want = sorted((r.k, r.v) for r in rows.collect())
     assert {r.k: r.w for r in got.collect()} == dict(zip([k for k, _ in want], [v for _, v in want[1:]] + [None]))
+
+
+def test_every_customer_and_event(spark, sf_dir):
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    assert catalogue.comparison_listing_all(spark, sf_dir).count() == read("customer").count() - 1 > 100
+    assert catalogue.audit_trail_all(spark, sf_dir).select("event_id").distinct().count() == read("events").count()
