@@ -101,7 +101,8 @@ def mix(docs: DataFrame, *, block: int = BLOCK, chunk_rows: int = 2000, seed: in
     base = base.withColumn("_chunk", F.expr(f"shiftright(cast(conv(substr(_key, 1, 6), 16, 10) as int), {24 - bits})"))
     base = base.join(named.select("sid", "source", "source_size", "target").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     base = running(base, "sid", "_chunk", ["_key", "size"], "size", "_start")
-    slots = int(1.05 * 1.5 * total.words / block) + 50 * (total.s + 1)
+    wanted = named.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+    slots = int(1.05 * max(1.5 * total.words, wanted) / block) + 50 * (total.s + 1)
     copies = schedule(named, slots, block=block).groupBy("sid", "block").agg(F.count("*").alias("_copies"))
     first, last = F.expr(f"_start div {block}"), F.expr(f"(_start + size - 1) div {block}")
     cut = base.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))

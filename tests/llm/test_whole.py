@@ -1,6 +1,6 @@
 """Cases in which the operators once did less than the whole job."""
 
-from deltadoc.llm import urltree
+from deltadoc.llm import mixing, urltree
 
 
 def test_small_alike_branches_are_merged(spark):
@@ -13,3 +13,9 @@ def test_small_alike_branches_are_merged(spark):
         rows = {r.page_id: r for r in urltree.judge(pages, rules=(), labels=labels).collect()}
         assert rows[400].template == rows[440].template != rows[0].template
         assert rows[400].verdict == rows[479].verdict == "block" and rows[0].verdict == "allow"
+
+
+def test_mix_reaches_a_larger_budget(spark):
+    docs = spark.createDataFrame([(k, "w " * 400, "ab"[k % 2]) for k in range(400)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, block=16, budget=2.0).collect()
+    assert abs(sum(r.taken for r in rows) - 2 * sum(r.size for r in rows)) <= 2 * 16
