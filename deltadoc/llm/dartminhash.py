@@ -7,14 +7,18 @@ the same ones. Those below the element's weight and the document's rank limit hi
 coordinate with the probability of their weighted Jaccard similarity. About k (ln k + 4) darts hit a
 document of any length; one that has an empty coordinate is thrown at again with twice the rank limit.
 
-Documents with equal words are one class from the start. Bands of coordinates give buckets of candidates:
+Rows with equal words are one class from the start, whatever their ids, and each class of words has a number
+of its own. Bands of coordinates give buckets of candidates:
 
 1. Each bucket is a star around its member that meets most others in all of its buckets. Stars' edges of
    similar signatures are checked on the whole sets of shingles; links give components.
 2. Where a bucket still holds several components, its members of different components are compared in
-   blocks of bounded size, by signature and then by their sets, and similar ones are checked in the same way.
+   blocks of bounded size, by signature and then by their sets. Members of its largest component meet the
+   others only.
 
 So a group of copies costs a star, not all pairs, and yet no candidate pair of different components is left out.
+A bucket or a star's centre that has more than a thousandth of the rows meets its row by a broadcast of at most
+a thousand rows, so that none is gathered in one task.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ from deltadoc.llm.tokens import slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
-K, ROWS = 100, 4
+K, ROWS = 128, 4
+MARGIN = 0.3
 _HASH = np.uint64((1 << 48) - 1)
 _u64 = np.uint64
 
@@ -60,7 +65,7 @@ def words_of(text: str | None) -> bytes:
 
 
 def shingles(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the document and hash (48 bits) of each shingle of ``words_of`` texts, with repeats."""
+    """Number of the document and hash (64 bits) of each shingle of ``words_of`` texts, with repeats."""
     raw = np.frombuffer(b"".join(docs), np.uint8)
     if not len(raw):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -80,12 +85,12 @@ def shingles(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = len(word) - j
         total[:n] += np.where((at + j < size)[:n], word[j:] * _PLACE[j + 8], _u64(0))
     keep = (at + SHINGLE <= size) | (at == 0)
-    return doc[keep], mix(total[keep]) & _HASH
+    return doc[keep], mix(total[keep])
 
 
 def weighted(doc: np.ndarray, element: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, element), sorted, with weight 1 (``set``) or how often it occurs (``count``)."""
-    key, n = np.unique(doc.astype(np.uint64) << _u64(48) | element, return_counts=True)
+    """Distinct (document, element's lower 48 bits), sorted, with weight 1 (``set``) or how often it occurs (``count``)."""
+    key, n = np.unique(doc.astype(np.uint64) << _u64(48) | element & _HASH, return_counts=True)
     return (key >> _u64(48)).astype(np.int64), key & _HASH, np.ones(len(key)) if weights == "set" else n.astype(float)
 
 
@@ -149,12 +154,12 @@ def band_hashes(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix(parts.sum(axis=2, dtype=np.uint64) + np.arange(k // rows, dtype=np.uint64) * _PLACE[23])
 
 
-def signatures(docs: DataFrame, *, k: int = K, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """doc_id, words_key (of the words in order; null without words), bands, sig (a byte of each coordinate)."""
+def signatures(docs: DataFrame, *, k: int = K, rows: int = ROWS, weights: str = "set", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, words_key (of the words in order; null without words), bands, sig (a byte of each coordinate) and ``keep``."""
+    from pyspark.sql import types as Y
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
             for a, z, texts in slices(b.column(1)):
                 words = [words_of(t) for t in texts]
                 keys = [hashlib.blake2b(w, digest_size=16).digest() if w else None for w in words]
@@ -165,11 +170,24 @@ def signatures(docs: DataFrame, *, k: int = K, rows: int = ROWS, weights: str =
                 offsets = np.concatenate([[0], np.cumsum(np.where(full, k // rows, 0))]).astype(np.int32)
                 small = (s >> _u64(7)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, z - a), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array([x.tobytes() for x in small], pa.binary())],
-                    names=["doc_id", "words_key", "bands", "sig"],
+                    [b.column(0).slice(a, z - a), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array([x.tobytes() for x in small], pa.binary()), *[c.slice(a, z - a) for c in b.columns[2:]]],
+                    names=["doc_id", "words_key", "bands", "sig", *keep],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, words_key binary, bands array<long>, sig binary")
+    rest = docs.select(F.col("doc_id").cast("long"), "text", *keep)
+    made = [("doc_id", Y.LongType()), ("words_key", Y.BinaryType()), ("bands", Y.ArrayType(Y.LongType())), ("sig", Y.BinaryType())]
+    return rest.mapInArrow(run, Y.StructType([Y.StructField(n, t) for n, t in made] + rest.schema.fields[2:]))
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """``many`` with its key's row of ``one``, which has a row for each key with ``n``, how often ``many`` has it.
+
+    Keys with more than a thousandth of the ``total`` rows, of which there are less than a thousand, are
+    broadcast; the others are shuffled, so no task gets more than that share under one key.
+    """
+    hot, cold = one.where(F.col("n") > total // 1000), one.where(F.col("n") <= total // 1000)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,7 +197,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _similar(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose signatures' estimate is at least ``least``."""
-    both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("_sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("_sb")), "b")
+    centres = written(pairs.groupBy("a").agg(F.count("*").alias("n")).join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("_sa")), "a"))
+    both = spread_join(pairs, centres, "a", pairs.count()).join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("_sb")), "b")
 
     def run(batches):
         for x in batches:
@@ -196,7 +215,7 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, s
     A pair's first set is sent once for each ``star`` of its pairs, its second one once a pair. Both sides of
     these joins grow with the corpus, so they are merged and never broadcast.
     """
-    sets = sets.select(F.col("doc_id").alias("_id"), "own").hint("merge")
+    sets = sets.select(F.col("key").alias("_id"), "own").hint("merge")
     stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / star).cast("int").alias("_n"))
     rays = pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_n")).cast("int").alias("_s"))
     rays = rays.join(sets, F.col("b") == F.col("_id")).select("a", "_s", "b", "own")
@@ -204,11 +223,11 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, s
     rows = centres.unionByName(rays).repartition("a", "_s").sortWithinPartitions("a", "_s", F.col("b").asc_nulls_first())
 
     def run(batches):
-        centre, mine = None, np.empty(0, "<u4")
+        centre, mine = None, np.empty(0, "<u8")
         for x in batches:
             found = []
             for a, s, b, own in zip(*(x.column(i).to_pylist() for i in range(3)), x.column(3)):
-                its = np.frombuffer(own.as_py(), "<u4")
+                its = np.frombuffer(own.as_py(), "<u8")
                 if b is None:
                     centre, mine = (a, s), its
                 elif centre == (a, s):
@@ -220,48 +239,54 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, s
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """doc_id and class_id (the least id of its component) of each id in ``links`` (a, b).
+def components(links: DataFrame) -> DataFrame:
+    """key and class_key (the least key of its component) of each key in ``links`` (a, b).
 
-    Each round sends every id's neighbours to the least of them, first the larger ones and then the smaller
+    Each round sends every key's neighbours to the least of them, first the larger ones and then the smaller
     ones, until nothing changes; the rounds follow the logarithm of the longest chain.
     """
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(rounds):
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before, now = None, state(edges)
+    while now != before:
+        before, total = now, 2 * now[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = written(spread_join(both, least, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, "u", total)
         edges = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("class_id")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("class_id")).distinct())
+        now = state(edges)
+    return edges.select(F.col("u").alias("key"), F.col("v").alias("class_key")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("class_key")).distinct())
 
 
-def across(members: DataFrame, sigs: DataFrame, sets: DataFrame, similarity: float, margin: float, block: int = 512) -> DataFrame:
-    """Similar pairs (a < b) of a bucket (bucket, doc_id, class_id) in different classes.
+def across(members: DataFrame, sigs: DataFrame, sets: DataFrame, similarity: float, least: float, block: int = 512) -> DataFrame:
+    """Similar pairs (a < b) of a bucket (bucket, key, class_key) in different classes.
 
-    A bucket is cut into blocks of about ``block`` members; each two blocks are compared by a task that
-    holds nothing else. A pair is looked at in the first band that it shares only: first its signatures,
-    then, if those are alike, its ``sets`` of shingles.
+    A bucket's largest class and its other members are cut into blocks of about ``block`` each. Two blocks
+    of others, and a block of the largest class with one of others, are compared by a task that holds
+    nothing else. A pair is looked at in the first band that it shares only: first its signatures, then,
+    if their estimate is at least ``least``, its ``sets`` of shingles.
     """
-    sized = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    rows = members.join(sized, "bucket").withColumn("_i", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int"))
-    rows = rows.join(sigs.select("doc_id", "sig", "bands"), "doc_id").join(sets.hint("merge"), "doc_id")
-    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.select("bucket", F.least("_i", "_j").alias("_x"), F.greatest("_i", "_j").alias("_y"), "_i", "doc_id", "class_id", "sig", "bands", "own")
-    rows = rows.repartition("bucket", "_x", "_y").sortWithinPartitions("bucket", "_x", "_y", "doc_id")
+    of = members.groupBy("bucket", "class_key").agg(F.count("*").alias("c"))
+    largest = F.max(F.struct("c", "class_key"))
+    sized = of.groupBy("bucket").agg(largest["class_key"].alias("_first"), largest["c"].alias("_c"), F.sum("c").alias("n"))
+    parts = lambda x: F.ceil(x / block).cast("int")
+    sized = written(sized.select("bucket", "_first", parts(F.col("_c")).alias("_nf"), parts(F.col("n") - F.col("_c")).alias("_no"), "n"))
+    rows = spread_join(members, sized, "bucket", members.count())
+    inner, deal = F.col("class_key") == F.col("_first"), lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    rows = rows.withColumn("_i", F.when(inner, F.col("_no") + deal(F.col("_nf"))).otherwise(deal(F.col("_no"))))
+    rows = rows.join(sigs.select("key", "sig", "bands"), "key").join(sets.hint("merge"), "key")
+    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.when(inner, F.col("_no")).otherwise(F.col("_no") + F.col("_nf")) - 1)))
+    rows = rows.select("bucket", F.least("_i", "_j").alias("_x"), F.greatest("_i", "_j").alias("_y"), "_i", "key", "class_key", "sig", "bands", "own")
+    rows = rows.repartition("bucket", "_x", "_y").sortWithinPartitions("bucket", "_x", "_y", "key")
 
     def compare(part: pa.Table) -> Iterator[tuple[int, int]]:
         bucket, x, y = (part.column(n)[0].as_py() for n in ("bucket", "_x", "_y"))
-        ids, cls, i = (part.column(n).to_numpy() for n in ("doc_id", "class_id", "_i"))
+        ids, cls, i = (part.column(n).to_numpy() for n in ("key", "class_key", "_i"))
         sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
         bands = part.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        own = [np.frombuffer(s, "<u4") for s in part.column("own").to_pylist()]
+        own = [np.frombuffer(s, "<u8") for s in part.column("own").to_pylist()]
         left, right = np.flatnonzero(i == x), np.flatnonzero(i == y)
         for a in range(0, len(left), 64):
             p = left[a : a + 64]
@@ -270,7 +295,7 @@ def across(members: DataFrame, sigs: DataFrame, sets: DataFrame, similarity: flo
                 near &= ids[p][:, None] < ids[right][None, :]
             if not near.any():
                 continue
-            near &= alike(sig[p][:, None, :], sig[right][None, :, :]) >= similarity - margin
+            near &= alike(sig[p][:, None, :], sig[right][None, :, :]) >= least
             first = (bands[p][:, None, :] == bands[right][None, :, :]).argmax(axis=2)
             near &= bands[p][np.arange(len(p))[:, None], first] == bucket
             for u in np.flatnonzero(near.any(axis=1)):
@@ -300,20 +325,33 @@ def across(members: DataFrame, sigs: DataFrame, sets: DataFrame, similarity: flo
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id and ``own``: its distinct shingles as sorted hashes of 32 bits. Texts without words are left out."""
+def sets_of(texts: DataFrame, weights: str = "set") -> DataFrame:
+    """key and ``own``: its distinct shingles as sorted hashes of 64 bits. Texts without words are left out.
+
+    With ``count`` the n-th occurrence of a shingle is an element of its own, so that the Jaccard similarity
+    of two sets is the weighted one of their counts.
+    """
+
+    def elements(found: np.ndarray) -> np.ndarray:
+        if weights == "set":
+            return np.unique(found)
+        found = np.sort(found)
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        times = np.arange(len(found)) - np.repeat(first, np.diff(np.append(first, len(found))))
+        return np.unique(mix(found + times.astype(np.uint64) * _PLACE[22]))
 
     def run(batches):
         for x in batches:
-            ids = x.column(0).to_pylist()
+            keys = x.column(0).to_numpy()
+            x = x.filter(pa.array(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]])))  # equal rows
+            keys = x.column(0).to_pylist()
             for a, z, texts in slices(x.column(1)):
-                doc, element, _ = weighted(*shingles([words_of(t) for t in texts]), "set")
+                doc, element = shingles([words_of(t) for t in texts])
                 edge = np.searchsorted(doc, np.arange(z - a + 1))
-                sets = [np.unique(element[edge[k] : edge[k + 1]].astype("<u4")).tobytes() for k in range(z - a)]
-                some = [(i, s) for i, s in zip(ids[a:z], sets) if s]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in some], pa.int64()), "own": pa.array([s for _, s in some], pa.binary())})
+                sets = [(keys[a + k], elements(element[edge[k] : edge[k + 1]]).astype("<u8").tobytes()) for k in range(z - a) if edge[k] < edge[k + 1]]
+                yield pa.RecordBatch.from_pydict({"key": pa.array([i for i, _ in sets], pa.int64()), "own": pa.array([s for _, s in sets], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, own binary").dropDuplicates(["doc_id"])
+    return texts.select("key", "text").mapInArrow(run, "key long, own binary")
 
 
 def _pairs(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
@@ -321,35 +359,73 @@ def _pairs(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def near_copies(docs: DataFrame, *, similarity: float = SIMILARITY, k: int = K, rows: int = ROWS, margin: float = 0.15, weights: str = "set") -> DataFrame:
-    """doc_id, exact_id and class_id of each row of ``docs`` (doc_id, text).
+def classes(docs: DataFrame, *, similarity: float = SIMILARITY, k: int = K, rows: int = ROWS, margin: float | None = MARGIN, weights: str = "set", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, exact_id, class_id and class_key of each row of ``docs`` (doc_id, text).
 
-    exact_id is the least id with the same words, class_id the least id of the component of links. Null ids
-    have null for both. A text without words is alone. Rows of one id count as one document. ``margin``
-    is how far below ``similarity`` a signature's estimate may lie before a pair is dropped unchecked.
+    Rows are classed by their texts, so rows of one id with different texts may be of different classes.
+    exact_id is the least id with the same words, class_id the least id of the component of links, and
+    class_key its number, which is null for a text without words.
     """
-    signed = written(signatures(docs, k=k, rows=rows, weights=weights))
-    exact = written(signed.where("words_key is not null and doc_id is not null").groupBy("words_key").agg(F.min("doc_id").alias("exact_id")))
-    lone = signed.join(exact.select("exact_id").distinct(), signed.doc_id == F.col("exact_id"), "left_semi").where("words_key is not null")
-    sigs = written(lone.groupBy("doc_id").agg(F.min(F.struct("words_key", "bands", "sig")).alias("s")).select("doc_id", "s.bands", "s.sig"))
-    posted = sigs.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(posted.join(shared, "bucket"))
-    met = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
-    stars = members.join(met, "doc_id").groupBy("bucket").agg((-F.max(F.struct("met", (-F.col("doc_id")).alias("id"))).getField("id")).alias("a"))
-    rays = members.join(stars, "bucket").where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    near = written(_similar(rays, sigs, similarity - margin))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select("doc_id").distinct().hint("merge"), "doc_id")
-    sets = written(sets_of(texts))
+    its_text = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_text")
+    signed = written(signatures(docs.select("*", its_text), k=k, rows=rows, weights=weights, keep=(*keep, "_text")))
+    worded = signed.where("words_key is not null")
+    one = F.min_by(F.struct("doc_id", "_text", "bands", "sig"), F.struct(F.col("doc_id").isNull(), "doc_id", "_text"))
+    exact = worded.groupBy("words_key").agg(F.min("doc_id").alias("exact_id"), one.alias("s"), F.count("*").alias("n"))
+    exact = written(exact.withColumn("key", F.monotonically_increasing_id()))
+    sigs = exact.select("key", "s.bands", "s.sig")
+    posted = sigs.select("key", F.explode("bands").alias("bucket"))
+    shared = written(posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    distinct = exact.count()
+    members = written(spread_join(posted, shared, "bucket", distinct * (k // rows)))
+    size = members.count()
+    met = members.groupBy("key").agg(F.sum("n").alias("met"))
+    stars = written(members.join(met, "key").groupBy("bucket").agg((-F.max(F.struct("met", (-F.col("key")).alias("key"))).getField("key")).alias("a"), F.count("*").alias("n")))
+    rays = written(spread_join(members.drop("n"), stars, "bucket", size).where("a != key").select("a", F.col("key").alias("b")).distinct())
+    near = rays if margin is None else written(_similar(rays, sigs, similarity - margin))
+    some = exact.select("key", F.col("s.doc_id").alias("_id"), F.col("s._text").alias("_its")).join(members.select("key").distinct(), "key", "left_semi").hint("merge")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", its_text)
+    sets = written(sets_of(texts.join(some, texts.doc_id.eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_its"))), weights))
     links = written(checked(near, sets, similarity))
     first = components(links)
-    classed = members.join(first, "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    mixed = classed.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo != hi").select("bucket")
-    late = written(across(written(classed.join(mixed, "bucket")), sigs, sets, similarity, margin))
+    classed = written(members.join(first, "key", "left").select("bucket", "key", F.coalesce("class_key", "key").alias("class_key")))
+    mixed = written(classed.groupBy("bucket").agg(F.min("class_key").alias("lo"), F.max("class_key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n"))
+    late = written(across(written(spread_join(classed, mixed, "bucket", size).drop("n")), sigs, sets, similarity, -1.0 if margin is None else similarity - margin))
     final = components(links.unionByName(late)) if not late.isEmpty() else first
-    out = signed.select("doc_id", "words_key").join(exact, "words_key", "left")
-    out = out.select("doc_id", F.coalesce("exact_id", "doc_id").alias("exact_id")).join(final.withColumnRenamed("doc_id", "exact_id"), "exact_id", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("exact_id")).alias("exact_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "exact_id")).alias("class_id"))
+    found = exact.select("words_key", "exact_id", "n", "key").join(final, "key", "left").withColumn("class_key", F.coalesce("class_key", "key"))
+    least = found.groupBy("class_key").agg(F.min("exact_id").alias("class_id"), F.count("*").alias("n"))
+    found = written(spread_join(found.drop("key").withColumnRenamed("n", "_n"), least, "class_key", distinct).drop("n").withColumnRenamed("_n", "n"))
+    out = spread_join(worded.select("doc_id", "words_key", *keep), found, "words_key", signed.count())
+    named = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    lone = signed.where("words_key is null").select("doc_id", *keep, F.col("doc_id").alias("exact_id"), F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("class_key"))
+    return out.select("doc_id", *keep, named("exact_id"), named("class_id"), "class_key").unionByName(lone)
+
+
+def near_copies(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, exact_id and class_id of each row of ``docs`` (doc_id, text); other columns are left out.
+
+    exact_id is the least id with the same words, class_id the least id of the component of links. A text
+    without words is alone. Rows with null ids link others, but have null for both. Options: ``similarity``; ``k``
+    and ``rows``, the coordinates and how many a band has; ``weights``, ``set`` or ``count`` of shingles;
+    ``margin``, how far below ``similarity`` a signature's estimate may lie before a pair is dropped
+    unchecked (None: each pair of a bucket is checked).
+    """
+    return classes(docs, **options).select("doc_id", "exact_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without near copies: of each class the row of the least id stays, and each text without words.
+
+    Of rows equal in id and text one stays. Rows without an id stay if their class has no row with one.
+    """
+    name = "_row"
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
+    rows = docs.withColumn(name, key)
+    found = classes(rows.select("doc_id", "text", name), keep=(name,), **options)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", name))[name].alias(name)
+    first = found.where("class_key is not null").groupBy("class_key").agg(best).select(name).unionByName(found.where("class_key is null").select(name).distinct())
+    return rows.join(first, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op8_dartminhash(spark, sf_dir: str) -> DataFrame:

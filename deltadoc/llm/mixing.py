@@ -87,14 +87,14 @@ def schedule(named: DataFrame, slots: int, *, block: int = BLOCK) -> DataFrame:
     return ranked.where(F.col("rank") < F.floor(F.col("target") / block + 0.5)).select("slot", "sid", "rank", F.pmod(F.col("rank"), blocks).alias("block"))
 
 
-def mix(docs: DataFrame, *, block: int = BLOCK, chunk_rows: int = 2000, seed: int = 7, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for each row of ``docs`` (doc_id, text, source).
+def mix(docs: DataFrame, *, block: int = BLOCK, chunk_rows: int = 2000, seed: int = 7, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and ``keep`` for each row of ``docs`` (doc_id, text, source).
 
     Null texts have no words; null is a source of its own. Equal rows stay apart, though which of them is
     taken more often may be either. ``taken`` counts words with repeats and is at most twice the size.
     """
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed))))
-    base = written(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), key.alias("_key")))
+    base = written(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), key.alias("_key"), *keep))
     total = base.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.count_distinct("source").alias("s")).first()
     bits = max(0, min(24, (total.n // chunk_rows).bit_length()))
     named = written(sources(base, **options))
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, *, block: int = BLOCK, chunk_rows: int = 2000, seed: in
     first, last = F.expr(f"_start div {block}"), F.expr(f"(_start + size - 1) div {block}")
     cut = base.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     over = F.least(F.col("_start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("_start"), F.col("block") * block)
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", "size", "source_size", "target", *keep]
     parts = cut.withColumn("_over", over).join(copies, ["sid", "block"], "left")
     taken = parts.groupBy(*columns, "_start").agg(F.sum(F.coalesce(F.col("_copies"), F.lit(0)) * F.col("_over")).cast("long").alias("taken"))
     empty = base.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
