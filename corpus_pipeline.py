@@ -20,34 +20,36 @@ LEAST_LANGUAGE = 0.35
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.5, the threshold of the pairwise ranking (operator 5)."""
     ranker = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.measured(docs, ranker, "__score").where("__score >= 0.5").select(*_columns(docs))
+    score = _free(docs, "__score")
+    return quality.measured(docs, ranker, score).where(F.col(score) >= 0.5).select(*_columns(docs))
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found and stands out (operator 4)."""
-    found = langid.identify(docs, langid.fit(docs), ("__lang", "__score"))
-    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE)).select(*_columns(docs))
+    lang, score = _free(docs, "__lang"), _free(docs, "__score")
+    found = langid.identify(docs, langid.fit(docs), (lang, score))
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE)).select(*_columns(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one of the least id (operator 8).
 
-    Of rows with the same id one stays; rows without an id stay.
+    Rows are classed by their texts, whatever their ids; of rows equal in id and text one stays.
     """
-    first = dartminhash.near_copies(docs).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*_columns(docs)).unionByName(docs.where("doc_id is null"))
+    return dartminhash.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole number (operator 10).
 
-    A document that the mix takes less than half of goes.
+    A document that the mix takes less than half of goes. Rows equal in id, text and source count as one document.
     """
-    rows = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
-    times = rows.select("doc_id", F.floor(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1)) + 0.5).cast("int").alias("__times"))
-    some = docs.join(times.where("__times > 0"), docs["doc_id"].eqNullSafe(times["doc_id"])).drop(times["doc_id"])
-    return some.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*_columns(docs))
+    key, times, copy = (_free(docs, n) for n in ("__key", "__times", "__copy"))
+    null = lambda c: F.coalesce(F.md5(F.col(c).cast("string")), F.lit("null"))
+    rows = docs.withColumn(key, F.md5(F.concat_ws(":", null("doc_id"), null("text"), null("source"))))
+    taken = mixing.mix(rows, keep=(key,)).groupBy(key).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias(times))
+    some = rows.join(taken.where(F.col(times) > 0), key)
+    return some.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*_columns(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +57,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it a new one."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    return name
+
+
 def _columns(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 
