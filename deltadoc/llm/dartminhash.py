@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltadoc.llm.common import written
+from deltadoc.llm.common import spread_join, written
 from deltadoc.llm.tokens import slices
 
 SHINGLE = 5
@@ -179,17 +179,6 @@ def signatures(docs: DataFrame, *, k: int = K, rows: int = ROWS, weights: str =
     return rest.mapInArrow(run, Y.StructType([Y.StructField(n, t) for n, t in made] + rest.schema.fields[2:]))
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
-    """``many`` with its key's row of ``one``, which has a row for each key with ``n``, how often ``many`` has it.
-
-    Keys with more than a thousandth of the ``total`` rows, of which there are less than a thousand, are
-    broadcast; the others are shuffled, so no task gets more than that share under one key.
-    """
-    hot, cold = one.where(F.col("n") > total // 1000), one.where(F.col("n") <= total // 1000)
-    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-    return many.join(F.broadcast(hot), key).unionByName(rest)
-
-
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of signatures of one byte a coordinate, of which 1 in 256 agrees by chance."""
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)

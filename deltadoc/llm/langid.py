@@ -17,12 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 WINDOW = 256
-_letter = re.compile(r"[^\W\d_]")
+_maybe_letter = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numbers such as one half or a superscript two aren't letters."""
+    return any(m[0].isalpha() for m in _maybe_letter.finditer(text))
 
 
 @dataclass
@@ -86,7 +91,7 @@ class ByteNet:
         result: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         if not self.languages:
             return result
-        known = [i for i, t in enumerate(texts) if t and _letter.search(t)]
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if not known:
             return result
         raw = [texts[i].encode("utf-8", "surrogatepass") for i in known]
@@ -170,24 +175,28 @@ def _gradients(net: ByteNet, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -
     return [d_emb, *d_kernels, *d_biases, d_out, d_out_bias]
 
 
-def sample_windows(labelled: DataFrame, *, sample_docs: int = 2000, windows: int = 4, window: int = WINDOW, seed: int = 5) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows and labels of at most ``sample_docs`` rows (doc_id, text, lang), by a hash of doc_id.
+def sample_windows(labelled: DataFrame, *, sample_docs: int = 2000, least: int = 20, most_languages: int = 200, windows: int = 4, window: int = WINDOW, seed: int = 5) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows and labels of a bounded sample of the rows (doc_id, text, lang), by a hash of doc_id.
 
-    Null texts, null languages and texts without letters are left out. The driver gets ``sample_docs *
-    windows * window`` bytes at most, whatever the input's size.
+    Each of the ``most_languages`` most frequent languages gives its equal part of ``sample_docs`` rows, and
+    ``least`` rows at least, or all that it has. Null texts, null languages and texts without letters are
+    left out. The driver gets ``max(sample_docs, least * most_languages) * windows * window`` bytes at most.
     """
-    known = labelled.where("text is not null and lang is not null")
+    known = labelled.where("text is not null and lang is not null").withColumn("lang", F.col("lang").cast("string"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    quota = max(least, sample_docs // max(1, len(sizes)))
     place = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    rows = known.count()
-    if rows > 2 * sample_docs:  # a range of the hash with about twice the sample, so that few texts are sorted
-        known = known.where(F.pmod(place, F.lit(1_000_000_007)) < F.lit(int(2 * sample_docs / rows * 1_000_000_007)))
+    # a range of the hash with about twice each part, so that few texts are looked at
+    limits = {r.lang: min(1.0, 2 * quota / r.n) for r in sizes}
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang")) if limits else F.lit(0.0)
+    known = known.where(F.pmod(place, F.lit(1_000_000_007)) < limit * 1_000_000_007)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
             for key, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 text = text.as_py()
-                if not _letter.search(text):
+                if not has_letter(text):
                     continue
                 raw = text.encode("utf-8", "surrogatepass")
                 rng, room = np.random.default_rng(key & 0xFFFFFFFF), max(0, len(raw) - window)
@@ -196,8 +205,8 @@ def sample_windows(labelled: DataFrame, *, sample_docs: int = 2000, windows: int
             yield pa.RecordBatch.from_pydict({"key": pa.array(cols[0], pa.int64()), "lang": pa.array(cols[1], pa.string()), "windows": pa.array(cols[2], pa.binary())})
 
     taken = (
-        known.select(place.alias("key"), F.col("lang").cast("string"), F.col("text")).mapInArrow(cut, "key long, lang string, windows binary")
-        .orderBy("key", "lang", "windows").limit(sample_docs).collect()
+        known.select(place.alias("key"), "lang", "text").mapInArrow(cut, "key long, lang string, windows binary")
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "windows"))).where(F.col("rank") <= quota).collect()
     )
     unique = sorted({(r.lang, bytes(r.windows)) for r in taken})
     languages = sorted({lang for lang, _ in unique})

@@ -66,7 +66,10 @@ def first_fit_decreasing(sizes: np.ndarray, room: int = SEQUENCE) -> tuple[np.nd
 
 
 def pieces(docs: DataFrame, *, room: int = SEQUENCE, vocabulary: str | None = None, end_id: int = tokens.END_ID) -> DataFrame:
-    """Pieces of at most ``room`` ids: doc_id, start, length, ids_crc32, doc_tokens. Null texts are empty."""
+    """Pieces of at most ``room`` ids: doc_id, start, length, ids_crc32, doc_tokens; other columns are left out.
+
+    Null texts are empty: a document has at least its end id. Rows of equal ids are documents of their own.
+    """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary)
@@ -88,22 +91,26 @@ def pieces(docs: DataFrame, *, room: int = SEQUENCE, vocabulary: str | None = No
 def pack(cut: DataFrame, *, room: int = SEQUENCE, group_pieces: int = 4096, seed: int = 17) -> DataFrame:
     """``cut`` (any columns with ``length`` of 1 to ``room``) with sequence_id and offset.
 
-    Groups are dealt by a hash of each row's place in the written table, so that no key can crowd one of
+    Columns of these two names are replaced, all others are kept. Equal rows are pieces of their own, pieces
+    of equal length keep the order of doc_id and start, and no rows give no sequences. Groups are dealt by a hash of each row's place in the written table, so that no key can crowd one of
     them; their number follows the number of rows, so each task's share stays bounded. A sequence takes
     pieces of one group only, without gaps from offset 0.
     """
-    cut = written(cut)
+    cut = written(cut.drop("sequence_id", "offset"))
+    own = "pack_group"
+    while own in [c.lower() for c in cut.columns]:
+        own += "_"
     groups = max(1, -(-cut.count() // group_pieces))
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
+    dealt = cut.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([c for c in ("doc_id", "start") if c in frame.columns], kind="stable") if "doc_id" in frame else frame
         bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), room)
-        group = frame.pop("pack_group").to_numpy(dtype=np.int64)
+        group = frame.pop(own).to_numpy(dtype=np.int64)
         return frame.assign(sequence_id=(group << 24) + bins, offset=offsets)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
-    return dealt.groupBy("pack_group").applyInPandas(fill, f"{kinds}, sequence_id long, offset long")
+    return dealt.groupBy(own).applyInPandas(fill, f"{kinds}, sequence_id long, offset long")
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A document's strength is a linear function of a few measures of its text. Preference pairs (a document
 with label 1, one with label 0) teach it: the loss is the logistic one of the difference of the two
-documents' measures. The threshold is the quantile of the labelled documents' strengths that leaves the
+documents' measures. The threshold is the quantile of all labelled documents' strengths that leaves the
 share of label 0 below it; a score is the logistic function of the strength over that threshold, so 0.5
 is the threshold.
 """
@@ -104,12 +104,16 @@ def bradley_terry(x: np.ndarray, label: np.ndarray, *, share: float | None = Non
     return ranker
 
 
-def measured(docs: DataFrame, ranker: Ranker | None = None, score: str = "score") -> DataFrame:
-    """``docs`` with their measures (array), or with the ranker's score; a column of that name is replaced."""
+def measured(docs: DataFrame, ranker: Ranker | None = None, name: str | None = None, *, over: bool = True) -> DataFrame:
+    """``docs`` with their measures (an array), or with the ranker's score, or its strength where not ``over``.
+
+    The new column is called measures or score unless ``name`` is given; a column of that name is replaced.
+    """
     from pyspark.sql import types as T
 
-    name, kind = (score, T.DoubleType()) if ranker else ("measures", T.ArrayType(T.DoubleType()))
-    keep = [f for f in docs.schema.fields if f.name != name]
+    name = name or ("score" if ranker else "measures")
+    kind = T.DoubleType() if ranker else T.ArrayType(T.DoubleType())
+    keep = [f for f in docs.schema.fields if f.name.lower() != name.lower()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,26 +121,35 @@ def measured(docs: DataFrame, ranker: Ranker | None = None, score: str = "score"
             for _, _, texts in slices(b.column(b.schema.get_field_index("text"))):
                 rows += map(measures, texts)
             x = np.array(rows, dtype=float).reshape(-1, len(MEASURES))
-            last = pa.array(ranker.scores(x), pa.float64()) if ranker else pa.array(rows, pa.list_(pa.float64()))
+            last = pa.array(rows, pa.list_(pa.float64())) if ranker is None else pa.array(ranker.scores(x) if over else ranker.strengths(x), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, last], names=[*b.schema.names, name])
 
     return docs.select(*[f"`{f.name}`" for f in keep]).mapInArrow(run, T.StructType([*keep, T.StructField(name, kind)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = 6000, seed: int = 11) -> Ranker:
-    """A ranker from at most ``sample_docs`` labels outside the held-out fold (crc32 of doc_id mod 3 is 1).
+    """A ranker from labels outside the held-out fold (crc32 of doc_id mod 3 is 1).
 
-    Labels other than 0 and 1 and null ids are left out; the sample is by a hash of doc_id. Texts join
-    to the sampled ids only, whose number is bounded, so they may be broadcast.
+    Labels other than 0 and 1 and null ids are left out. Weights come from at most ``sample_docs`` labels by a
+    hash of doc_id; texts join to these sampled ids only, whose number is bounded, so they may be broadcast.
+    Where ids repeat, at most four times as many texts are taken, in order of ids and measures. The threshold
+    is the quantile of the strengths of all labelled texts, of which there must be one of each label.
     """
     free = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id", 3, 1))
     free = free.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     taken = free.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "quality").limit(sample_docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(taken), "doc_id")
-    rows = measured(texts).select("doc_id", "quality", "measures").limit(4 * sample_docs).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality, r.measures))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sample = measured(texts.join(F.broadcast(taken), "doc_id")).select("doc_id", "quality", "measures")
+    rows = sample.orderBy("doc_id", "quality", "measures").limit(4 * sample_docs).collect()
     x = np.array([r.measures for r in rows], dtype=float).reshape(-1, len(MEASURES))
-    return bradley_terry(x, np.array([r.quality for r in rows], dtype=int))
+    ranker = bradley_terry(x, np.array([r.quality for r in rows], dtype=int))
+    if not ranker.weights.any():
+        return ranker
+    strengths = measured(texts.join(free, "doc_id"), ranker, "u", over=False).select("quality", "u")
+    sums = strengths.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("bad"), F.percentile_approx("u", [k / 2000 for k in range(2001)], 100_000).alias("at")).first()
+    # the quantile among 2001 ones, each to one part in 100,000
+    ranker.threshold = float(np.interp(sums.bad / sums.n * 2000, range(2001), sums.at))
+    return ranker
 
 
 def score(docs: DataFrame, ranker: Ranker) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The vocabulary's pre-tokenizer never joins characters across white space and its normalizer reads
 no further than one such piece, so a text's ids are the ids of its blank-separated pieces in order.
-Each worker keeps the pieces that it has met; only new ones reach the tokenizer.
+Each worker keeps the pieces that it has met; only new ones reach the tokenizer. The vocabulary's added
+tokens, such as the one that ends a text, are cut out of the raw text first, as the tokenizer does.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +38,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tokenizer.encode_special_tokens = True  # pieces are lower case, where such strings are ordinary text
+        added = {t.content: i for i, t in self._tokenizer.get_added_tokens_decoder().items()}
+        self._added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self._marks = {"".join(takewhile(lambda c: c.lower() == c.upper(), t))[:2] for t in added}
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self._ends[[i for k, i in vocabulary.items() if k.endswith(WORD_END)]] = True
-        self._cache: dict[str, bytes] = {"": b""}
+        self._cache: dict[str, bytes] = {"": b""} | {f"\n{t}": struct.pack("<I", i) for t, i in added.items()}
         self._most = cache_pieces
 
     def __call__(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
         """Ids of each text with ``end_id`` after the last; null is an empty text."""
-        split = [
-            (t if _not_simple(t) else t.lower()).replace("\n", " ").split(" ") if t else []
-            for t in texts
-        ]
+        split = [self._pieces(t) if t else [] for t in texts]
         met = set().union(*split)
         new = met.difference(self._cache)
         if len(self._cache) + len(new) > self._most:
@@ -60,6 +61,17 @@ class Encoder:
         get, end = self._cache.__getitem__, struct.pack("<I", end_id)
         return [b"".join(map(get, pieces)) + end for pieces in split]
 
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces of a text; an added token is a piece with a line feed before it, which no other has."""
+        if self._added is not None and any(m in text for m in self._marks) and self._added.search(text):
+            parts = self._added.split(text)
+            return [p for k, x in enumerate(parts) for p in ([f"\n{x}"] if k % 2 else self._plain_pieces(x))]
+        return self._plain_pieces(text)
+
+    @staticmethod
+    def _plain_pieces(text: str) -> list[str]:
+        return (text if _not_simple(text) else text.lower()).replace("\n", " ").split(" ")
+
     def _learn(self, new: set[str]) -> None:
         """Ids of pieces that aren't in the cache. Symbols after a letter or digit are a word of their own."""
         cache, parts = self._cache, []

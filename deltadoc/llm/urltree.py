@@ -18,6 +18,8 @@ from deltadoc.llm.common import written
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DEPTH = 4
+#: Levels of the query's tree: as many as a page's path may have in use; each costs its prefix's length.
+WHOLE = 256
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -45,12 +47,13 @@ def shape(path: Column, depth: int = DEPTH) -> Column:
     return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(F.lit("<tail>")))).otherwise(parts)
 
 
-def templates(paths: DataFrame, *, support: int = 5, share: float = 0.01, merge_levels: int = DEPTH - 1, depth: int = DEPTH) -> DataFrame:
+def templates(paths: DataFrame, *, support: int = 5, share: float = 0.01, merge_levels: int | None = None) -> DataFrame:
     """host, shape and template of each row of ``paths`` (host, shape, pages, labelled, bad), with its counts.
 
-    A literal segment stays where ``support`` pages and ``share`` of its parent's pages have it.
+    A literal segment stays where ``support`` pages and ``share`` of its parent's pages have it. Branches are
+    merged at each level, or down to ``merge_levels``, until none are alike; of branches of equal size the one
+    with the larger name comes first.
     """
-    prefix = lambda k: F.concat_ws("/", F.slice("shape", 1, k))
     levels = F.explode(F.sequence(F.lit(1), F.size("shape")))
     at = paths.select("host", "shape", "pages", levels.alias("level")).withColumn("node", F.concat_ws("/", F.expr("slice(shape, 1, level)")))
     at = at.withColumn("parent", F.when(F.col("level") > 1, F.concat_ws("/", F.expr("slice(shape, 1, level - 1)"))).otherwise(F.lit("")))
@@ -67,12 +70,20 @@ def templates(paths: DataFrame, *, support: int = 5, share: float = 0.01, merge_
     changed = True
     while changed:
         changed = False
-        for level in range(1, min(merge_levels, depth - 1) + 1):
+        for level in _levels(rows, merge_levels):
             while (merged := _merged(rows, level)) is not None:
                 rows, changed = merged, True
     return rows.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", "segs"))).drop("segs")
 
 
+def _levels(rows: DataFrame, most: int | None) -> list[int]:
+    """Levels with another one below them at which a branch has siblings."""
+    at = rows.select("host", "segs", F.explode(F.sequence(F.lit(1), F.size("segs"))).alias("level")).select("host", "level", F.expr("slice(segs, 1, level - 1)").alias("above"), F.get("segs", F.col("level") - 1).alias("seg"))
+    wide = at.groupBy("host", "level", "above").agg(F.min("seg").alias("a"), F.max("seg").alias("z")).where("a != z").select("level").distinct().collect()  # as many as levels
+    deepest = rows.agg(F.max(F.size("segs"))).first()[0] or 0
+    return sorted(r.level for r in wide if r.level < deepest and (most is None or r.level <= most))
+
+
 def _merged(rows: DataFrame, level: int) -> DataFrame | None:
     """Segments at ``level`` renamed to the largest sibling that they are like, or None where none are alike.
 
@@ -81,7 +92,7 @@ def _merged(rows: DataFrame, level: int) -> DataFrame | None:
     """
     place, pair = ["host", "_above", "_seg"], ["host", "_above", "_hi", "_lo"]
     rows = written(rows.withColumn("_above", F.concat_ws("/", F.slice("segs", 1, level - 1))).withColumn("_seg", F.get("segs", F.lit(level - 1))))
-    below = F.concat_ws("/", F.slice("segs", level + 1, DEPTH))
+    below = F.concat_ws("/", F.slice("segs", F.lit(level + 1), F.size("segs")))
     cells = rows.where("_seg is not null").groupBy(*place, below.alias("_below")).agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "bad")])
     cells = written(cells)
     branch = cells.groupBy(*place).agg(*[F.sum(c).alias(f"_{c}") for c in ("pages", "labelled", "bad")], F.count("*").alias("_kinds"))
@@ -113,21 +124,23 @@ def _merged(rows: DataFrame, level: int) -> DataFrame | None:
     to = links.join(closed, lower, "left_semi").join(closed.withColumnRenamed("_lo", "_hi"), upper, "left_anti")
     renamed = to.groupBy(*lower).agg(F.max(F.struct("_pages", "_hi"))["_hi"].alias("_new")).withColumnRenamed("_lo", "_seg")
     out = rows.join(renamed, place, "left")
-    segs = F.when(F.col("_new").isNull(), F.col("segs")).otherwise(F.concat(F.slice("segs", 1, level - 1), F.array("_new"), F.slice("segs", level + 1, DEPTH)))
+    segs = F.when(F.col("_new").isNull(), F.col("segs")).otherwise(F.concat(F.slice("segs", 1, level - 1), F.array("_new"), F.slice("segs", F.lit(level + 1), F.size("segs"))))
     return out.withColumn("segs", segs).drop("_above", "_seg", "_new")
 
 
-def judge(pages: DataFrame, *, rules=RULES, labels: DataFrame | None = None, smoothing: float = 4.0, reject: float = 0.6, **options) -> DataFrame:
-    """page_id, host, path, rule, template, purity and verdict of each row of ``pages`` (page_id, url).
+def judge(pages: DataFrame, *, rules=RULES, labels: DataFrame | None = None, smoothing: float = 4.0, reject: float = 0.6, depth: int = DEPTH, **options) -> DataFrame:
+    """page_id, host, path, rule, verdict, template and purity of each row of ``pages`` (page_id, url).
 
-    A page is labelled by its rule, or by ``labels`` (page_id, bad: 0 or 1) where given. The rule's verdict
-    holds; without a rule, a page is blocked if its template's smoothed share of bad pages is above
-    ``reject``. A template without labels has 0.5 and is allowed.
+    Other columns are left out, whatever their names. Rows of equal ids are pages of their own; a null url
+    has an empty host and path. A page is labelled by its rule, or by ``labels`` (page_id, bad: 0 or 1;
+    the larger of several) where given. The rule's verdict holds; without a rule, a page is blocked if its
+    template's smoothed share of bad pages is above ``reject``. A template without labels has 0.5 and is
+    allowed. The tree has ``depth`` levels; segments beyond are one.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("_said", said).withColumn("shape", shape(F.col("path"), DEPTH))
+    rows = rows.withColumn("rule", rule).withColumn("_said", said).withColumn("shape", shape(F.col("path"), depth))
     rows = rows.withColumn("_bad", (F.col("_said") == "block").cast("int"))
     if labels is not None:
         own = labels.where("bad in (0, 1)").groupBy("page_id").agg(F.max("bad").cast("int").alias("_own"))
@@ -144,4 +157,4 @@ def judge(pages: DataFrame, *, rules=RULES, labels: DataFrame | None = None, smo
 
 def op7_urltree(spark, sf_dir: str) -> DataFrame:
     """Every page's url judged."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), depth=WHOLE)

@@ -26,13 +26,17 @@ VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "warc-derivatives")
 
-_dropped = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>", re.S | re.I)
+_opening = re.compile(r"<(?:!--|(script|style|noscript|template|head)\b)", re.I)
+_closing = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "head")} | {None: re.compile("-->")}
 _breaks = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|nav|header|footer|main|blockquote|pre|td|th)\b[^>]*>", re.I)
 _tag = re.compile(r"<[^>]*>")
 _blanks = re.compile(r"[^\S\n]+")
 _lines = re.compile(r" ?\n[ \n]*")
-_title = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_link = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_title = re.compile(r"<title\b[^>]*>", re.I)
+_title_end = re.compile(r"</title", re.I)
+_anchor = re.compile(r"<a\b", re.I)
+_href = re.compile(r"\bhref\s*=", re.I)
+_value = re.compile(r"""\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _charset = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -123,14 +127,59 @@ def response(uri: str | None, page: str | None, date: str = DATE) -> Record:
     ], block)
 
 
+def without_hidden(page: str) -> str:
+    """The page with a blank for each comment and each closed element whose text isn't shown.
+
+    A closing that isn't found once isn't looked for again, so that each character is met a bounded number of times.
+    """
+    parts, at, begin, missing = [], 0, 0, set()
+    while (m := _opening.search(page, at)) is not None:
+        name = m[1].lower() if m[1] else None
+        end = None if name in missing else _closing[name].search(page, m.end())
+        if end is None:
+            missing.add(name)
+            at = m.end()
+            continue
+        parts += [page[begin : m.start()], " "]
+        begin = at = end.end()
+    return "".join([*parts, page[begin:]])
+
+
 def plain_text(page: str) -> str:
-    """Visible text, a line for each block of the page."""
-    text = _tag.sub("", _breaks.sub("\n", _dropped.sub(" ", page)))
+    """Visible text, a line for each block of the page. What follows the last ``>`` holds no whole tag."""
+    text = without_hidden(page)
+    last = text.rfind(">") + 1
+    text = _tag.sub("", _breaks.sub("\n", text[:last])) + text[last:]
     if "&" in text:
         text = html.unescape(text)
     return _lines.sub("\n", _blanks.sub(" ", text)).strip()
 
 
+def title_of(page: str) -> str | None:
+    """The text after the first whole ``title`` tag up to its end; None without either."""
+    m = _title.search(page, 0, page.rfind(">") + 1)
+    end = m and _title_end.search(page, m.end())
+    return page[m.end() : end.start()] if end else None
+
+
+def links_of(page: str) -> list[str]:
+    """The first ``href`` with a value of each ``a`` tag, in order; tags are walked once, forwards."""
+    found, at = [], 0
+    while (m := _anchor.search(page, at)) is not None:
+        end = page.find(">", m.end())
+        end = len(page) if end < 0 else end
+        at = max(end, m.end())
+        near = m.end()
+        while (h := _href.search(page, near, end)) is not None:
+            value = _value.match(page, h.end())
+            if value:
+                found.append(value[1] or value[2] or value[3] or "")
+                at = value.end()
+                break
+            near = h.end()
+    return found
+
+
 def derive(source: Record, date: str | None = None) -> tuple[Record, Record]:
     """The metadata and the conversion record of a response record."""
     status, headers, body = http_parts(source.block)
@@ -143,14 +192,14 @@ def derive(source: Record, date: str | None = None) -> tuple[Record, Record]:
         page = body.decode("utf-8", "replace")
     payload = source.get("WARC-Payload-Digest") or digest(body)
     meta_id, text_id = record_id("metadata", its_id), record_id("conversion", its_id)
-    title = _title.search(page)
-    links = dict.fromkeys(html.unescape(a or b or c).strip() for a, b, c in _link.findall(page))
+    title = title_of(page)
+    links = dict.fromkeys(html.unescape(x).strip() for x in links_of(page))
     one = lambda s: re.sub(r"\s+", " ", s).strip()
     fields = [("source-record-id", its_id), ("source-payload-digest", payload)]
     fields += [("source-block-digest", source.get("WARC-Block-Digest") or digest(source.block))]
     fields += [("http-status", str(status))] if status is not None else []
     fields += [(f"http-header-{n.lower()}", v) for n, v in headers]
-    fields += [("charset", charset)] + ([("title", one(html.unescape(title[1])))] if title else [])
+    fields += [("charset", charset)] + ([("title", one(html.unescape(title)))] if title is not None else [])
     fields += [("outlink", one(x)) for x in links if x]
     meta_block = "".join(f"{n}: {v}\r\n" for n, v in fields).encode("utf-8", "surrogatepass")
     text = plain_text(page).encode("utf-8", "surrogatepass")
@@ -162,7 +211,11 @@ def derive(source: Record, date: str | None = None) -> tuple[Record, Record]:
 
 
 def responses(pages: DataFrame) -> DataFrame:
-    """page_id and a response record (bytes) of each page (page_id, url, html)."""
+    """page_id and a response record (bytes) of each page (page_id, url, html); other columns are left out.
+
+    Null urls and pages are empty. A record's id follows from the url, the date and the page, so rows that are
+    equal in these get the same one, as one capture stored twice; each row keeps its record.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -181,6 +234,7 @@ def derivatives(records: DataFrame, level: int = 1) -> DataFrame:
     """Two rows for each response among ``records`` (page_id, record): its metadata and its conversion.
 
     ``record`` is the derivative as a gzip member. Null, damaged and other records give one row with ``error``.
+    Ids follow from the response's, so equal responses have equal derivatives, a pair for each row.
     """
     names = [x.split()[0] for x in DERIVED.split(", ")]
     kinds = [{"long": pa.int64(), "binary": pa.binary()}.get(x.split()[1], pa.string()) for x in DERIVED.split(", ")]

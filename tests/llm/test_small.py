@@ -1,5 +1,6 @@
 """Brute-force versions, round trips and odd inputs of the training-data operators."""
 
+import functools
 import random
 import zlib
 
@@ -24,17 +25,21 @@ def none(odd):
     return odd.limit(0)
 
 
-def plain_ids(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return Tokenizer.from_file(tokens.vocabulary_path())
+
+
+def plain_ids(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_ids_equal_the_tokenizers():
-    letters = "aAé'.,!_1 2\n\tİßſΣ́$#-"
+    letters = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", *"aAé'.,!_1 2\n\tİßſΣ́$#-"]
     rng = random.Random(3)
+    assert plain_ids("hello <|endoftext|> world") == [3306, 49407, 1002, 2]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [t for _, t in ODD]
     encode = tokens.Encoder(tokens.vocabulary_path(), cache_pieces=500)
     for a in range(0, len(texts), 200):
