@@ -37,12 +37,15 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 def spread_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
     """``many`` with its key's row of ``one``, which has a row for each key with ``n``, how often ``many`` has it.
 
-    Keys with more than a thousandth of the ``total`` rows, of which there are less than a thousand, are
-    broadcast; the others are shuffled, so no task gets more than that share under one key.
+    Keys with more than a thousandth of the ``total`` rows, of which there are less than a thousand, are named
+    by their hashes and broadcast; the others are shuffled, so no task gets more than that share under one key.
     """
-    hot, cold = one.where(F.col("n") > total // 1000), one.where(F.col("n") <= total // 1000)
-    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-    return many.join(F.broadcast(hot), key).unionByName(rest)
+    place = F.xxhash64(key)
+    hot = [r[0] for r in one.where(F.col("n") > total // 1000).select(place).distinct().collect()]  # less than a thousand
+    if not hot:
+        return many.join(one, key)
+    rest = many.where(~place.isin(hot)).join(one.where(~place.isin(hot)), key)
+    return many.where(place.isin(hot)).join(F.broadcast(one.where(place.isin(hot))), key).unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -86,7 +86,7 @@ def schedule(named: DataFrame, slots: int) -> DataFrame:
     line = spark.range(1, slots + 1).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("_u"))
     line = line.withColumn("_cell", F.floor(F.col("_u") * CELLS).cast("int"))
     met = line.join(cells.select("_cell", "sid", "low", "high"), "_cell").where("_u >= low and _u < high")
-    met = met.select("slot", "sid", F.expr("slot div 65536").alias("_chunk"), F.lit(1).alias("_one"))
+    met = met.select("slot", "sid", F.expr("slot div 8192").alias("_chunk"), F.lit(1).alias("_one"))
     wants = named.where("source_size > 0").select("sid", F.floor(F.col("target") / F.col("block_size") + 0.5).alias("_wants"), F.ceil(F.col("source_size") / F.col("block_size")).alias("_blocks"))
     ranked = running(met, "sid", "_chunk", ["slot"], "_one", "rank").join(wants, "sid").where("rank < _wants")
     had = met.groupBy("sid").agg(F.count("*").alias("_had"))
