@@ -48,6 +48,18 @@ OBLIGATION = re.compile(
     rf"\b(?P<actor>(?:the{_s}+)?(?:{_any(fixed.ROLES)})|[A-Z][\w&.'-]*(?:{_s}+[A-Z][\w&.'-]*){{0,3}})"
     rf"{_s}+(?P<modality>{_any(fixed.MODALITY_STRENGTH)}){_s}+(?P<rest>.{{0,220}})", _I,
 )
+#: Numbers at which a value may begin, with a whole run of number words taken at once, and what has to follow them.
+_run = rf"(?:{_number_word})(?:(?:{_s}|-)+(?:{_number_word}))*+"
+_number = re.compile(rf"\d+(?:\.\d+)?|{_run}", _I)
+_bounded_number = re.compile(rf"\b(?:\d+(?:\.\d+)?|{_run})", _I)
+_words = re.compile(_run, _I)
+_share = re.compile(rf"{_s}*(?:%|per{_s}?cent)", _I)
+_time = re.compile(rf"(?:{_s}|-)+(?:{_any(fixed.DURATION_UNITS)})\b", _I)
+_sum = re.compile(rf"{_s}*(?:naira|dollar|pound|euro)", _I)
+_blank = re.compile(_s, _I)
+_sign_before = re.compile(rf"(?:₦|\$|£|€|NGN|USD|GBP|EUR)?{_s}*\Z", _I)
+_money_marks = re.compile("[₦$£€¥]|n[0-9]|ngn|usd|gbp|eur|kes|zar|ghs|naira|dollar|pound")
+_date_marks = re.compile("[0-9][/.-][0-9]")
 ACTION = re.compile(rf"(?:not{_s}+)?[a-z]+(?:{_s}+[a-z]+)?", _I)
 
 SPAN = K.ArrayType(K.StructType([
@@ -57,28 +69,23 @@ SPAN = K.ArrayType(K.StructType([
 ]))
 
 
+_MEANING = {w: ("plus", n) for w, n in (fixed.UNITS | fixed.TENS).items()} | {w: ("times", n) for w, n in fixed.SCALES.items()} | {"a": ("least", 1), "and": ("plus", 0)}
+
+
 def words_to_number(phrase: str) -> float | None:
-    """The number that words say, or None where one of them isn't a number word."""
-    total = part = 0
-    seen = False
-    for word in re.split(r"[\s-]+", phrase.strip().lower()):
-        if not word or word == "and":
-            continue
-        if word == "a":
-            part = max(part, 1)
-            continue
-        small = fixed.UNITS.get(word, fixed.TENS.get(word))
-        scale = fixed.SCALES.get(word)
-        if small is None and scale is None:
-            return None
-        seen = True
-        if small is not None:
-            part += small
-        elif scale < 1000:
-            part = max(part, 1) * scale
-        else:
-            total, part = total + max(part, 1) * scale, 0
-    return float(total + part) if seen else None
+    """The number that words say, or None where one of them isn't a number word or none has a value.
+
+    Smaller numbers add up to a part; a scale multiplies it, and from a thousand on closes it.
+    """
+    words = [w for w in re.split(r"[\s-]+", phrase.strip().lower()) if w]
+    if not {*words} - {"a", "and"} or not {*words} <= _MEANING.keys():
+        return None
+    closed = part = 0.0
+    for kind, n in map(_MEANING.__getitem__, words):
+        part = part + n if kind == "plus" else max(part, 1.0) * (n if kind == "times" else 1)
+        if kind == "times" and n >= 1000:
+            closed, part = closed + part, 0.0
+    return closed + part
 
 
 def parse_number(text: str) -> float | None:
@@ -97,23 +104,56 @@ def _row(family, m, value=None, text=None, unit=None, confidence=1.0, note=None,
     return family, m[0].strip(), m.start(), m.end(), value, text, unit, confidence, note, actor, rest, action
 
 
+def _led_by_number(number: re.Pattern, follow: re.Pattern, whole: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches of ``whole``, which is a ``number`` and then ``follow``, in one walk over the text.
+
+    Nothing that may follow begins like a number word, so where a run of words isn't followed by it, no part of
+    the run is. Only behind a decimal point may another number begin inside of one.
+    """
+    at = 0
+    while (m := number.search(text, at)) is not None:
+        found = whole.match(text, m.start()) if follow.match(text, m.end()) else None
+        if found:
+            yield found
+            at = found.end()
+        else:
+            at = m.start() + m[0].find(".") + 1 if "." in m[0] else m.end()
+
+
+def _sums_in_words(text: str) -> Iterator[re.Match]:
+    """Matches of ``WORD_MONEY``, which begin at a sign or at the blanks before the words."""
+    at = 0
+    while (m := _words.search(text, at)) is not None:
+        if _sum.match(text, m.end()):
+            blank = m.start()
+            while blank > at and _blank.match(text, blank - 1):
+                blank -= 1
+            begin = _sign_before.search(text, max(at, blank - 3), blank)
+            found = WORD_MONEY.match(text, begin.start() if begin else blank)
+            if found:
+                yield found
+                at = found.end()
+                continue
+        at = m.end()
+
+
 def money_spans(text: str) -> Iterator[tuple]:
     digits = []
-    for m in MONEY.finditer(text):
+    for m in MONEY.finditer(text) if _money_marks.search(text.lower()) else ():
         if not (m["pre"] or m["post"]) or m["pre"] == "n":
             continue
         value = parse_number(m["amount"]) * fixed.MULTIPLIERS.get((m["mult"] or "").lower(), 1)
         code = _code(m["pre"]) or _code(m["post"])
         digits.append(m.span())
         yield _row("MONEY", m, math.floor(value * 100 + 0.5) / 100, unit=code, confidence=1.0 if code else 0.6)
-    for m in WORD_MONEY.finditer(text):
+    for m in _sums_in_words(text):
         value = words_to_number(m["words"])
         if value is not None and not any(a <= m.start() < b for a, b in digits):
             yield _row("MONEY", m, value, unit=_code(m["pre"]) or _code(m["post"]), confidence=0.85)
 
 
 def percent_spans(text: str) -> Iterator[tuple]:
-    for m in PERCENT.finditer(text):
+    for m in _led_by_number(_number, _share, PERCENT, text):
         value = parse_number(m["amount"])
         if value is not None:
             yield _row("PERCENT", m, value, unit="percent")
@@ -127,11 +167,12 @@ def date_spans(text: str, day_first: bool = True) -> Iterator[tuple]:
             taken.append(m.span())
             yield _row("DATE", m, text=f"{year:04d}-{month:02d}-{day:02d}" if year else f"--{month:02d}-{day:02d}", unit="date", confidence=confidence, note=note)
 
-    for pattern in (DAY_MONTH, MONTH_DAY):
+    low = text.lower()
+    for pattern in (DAY_MONTH, MONTH_DAY) if any(m in low for m in fixed.MONTHS) else ():
         for m in pattern.finditer(text):
             year = int(m["year"] or 0)
             yield from dated(m, year, fixed.MONTHS[m["month"].lower()], int(m["day"]), 1.0 if year else 0.6, None if year else "year not stated")
-    for m in NUMERIC_DATE.finditer(text):
+    for m in NUMERIC_DATE.finditer(text) if _date_marks.search(text) else ():
         a, b, c = int(m["a"]), int(m["b"]), int(m["c"])
         if len(m["a"]) == 4:
             yield from dated(m, a, b, c, 1.0)
@@ -142,7 +183,7 @@ def date_spans(text: str, day_first: bool = True) -> Iterator[tuple]:
 
 
 def duration_spans(text: str) -> Iterator[tuple]:
-    for m in DURATION.finditer(text):
+    for m in _led_by_number(_bounded_number, _time, DURATION, text):
         value = parse_number(m["amount"])
         if value is not None:
             yield _row("DURATION", m, value, unit=fixed.DURATION_UNITS[m["unit"].lower()])

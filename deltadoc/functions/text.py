@@ -178,7 +178,9 @@ def rewrite_summary(before: Column, after: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    return F.initcap(text)
+    """The first letter of each run of ASCII letters, digits and underscores in upper case; the rest stays."""
+    parts = F.split(text, "(?<=[^A-Za-z0-9_])")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
 
 
 def short_section(path: Column) -> Column:

@@ -66,3 +66,9 @@ def with_paths(sections: DataFrame) -> DataFrame:
         ).otherwise(a),
     )
     return rows.withColumn("path", F.array_join(up["path"], " > "))
+
+
+def excerpts(blocks: DataFrame, keys: list[str], limit: int = 500) -> DataFrame:
+    """The first ``limit`` characters of each section's blocks (``keys``, block_index, text), joined by blanks."""
+    texts = F.array_sort(F.collect_list(F.struct("block_index", F.substring("text", 1, limit).alias("text"))))
+    return blocks.groupBy(*keys).agg(F.substring(F.array_join(F.transform(texts, lambda b: b.text), " "), 1, limit).alias("excerpt"))

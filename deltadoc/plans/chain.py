@@ -21,6 +21,17 @@ def consecutive(versions: DataFrame) -> DataFrame:
     return rows.select("chain_id", F.concat_ws(":", F.col("chain_id").cast("string"), F.col("step").cast("string")).alias("cmp_id"), "step", F.col("doc_id").alias("doc_a"), "doc_b")
 
 
+def loaded(chains: DataFrame, documents: DataFrame) -> DataFrame:
+    """The documents (doc_id, filename, ...) of each chain (chain_id, ids: array) in its order.
+
+    Ids without a document are left out; version counts those that are there, from 1, and a document
+    without a name is called by it.
+    """
+    rows = chains.select("chain_id", F.posexplode("ids").alias("at", "doc_id")).join(documents, "doc_id")
+    rows = rows.withColumn("version", F.row_number().over(Window.partitionBy("chain_id").orderBy("at")))
+    return rows.withColumn("filename", F.coalesce(F.nullif("filename", F.lit("")), F.concat(F.lit("Version "), F.col("version").cast("string")))).drop("at")
+
+
 def tracked(changes: DataFrame) -> DataFrame:
     """Changes of a number with a currency or a unit of time or share."""
     unit = F.coalesce("new_value.unit", "old_value.unit").isin("days", "weeks", "months", "years", "hours", "percent")

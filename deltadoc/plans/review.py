@@ -78,6 +78,26 @@ def latest_versions(documents: DataFrame, versions: DataFrame) -> DataFrame:
     return documents.join(latest(versions, ["doc_id"], "created_at"), "doc_id", "left")
 
 
+def newest(rows: DataFrame, by: list[str], at: str = "created_at", limit: int | None = None) -> DataFrame:
+    """Rows with their place (``at_no``, from 1) among those of the same ``by``, newest first; the first ``limit`` of each.
+
+    Equal times follow the other columns in reverse; nulls come last.
+    """
+    rest = [F.col(c).desc_nulls_last() for c in rows.columns if c not in (*by, at)]
+    placed = rows.withColumn("at_no", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(at).desc_nulls_last(), *rest)))
+    return placed if limit is None else placed.where(F.col("at_no") <= limit)
+
+
+def of_org(changes: DataFrame, comparisons: DataFrame, org_id) -> DataFrame:
+    """Changes of comparisons (cmp_id, org_id) that belong to ``org_id``."""
+    return changes.join(comparisons.where(F.col("org_id") == org_id).select("cmp_id"), "cmp_id", "left_semi")
+
+
+def facet_order(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Facets' values with their place, the most frequent first and equal ones by name."""
+    return counts.withColumn("at_no", F.row_number().over(Window.partitionBy(*by, "facet").orderBy(F.desc("n"), "value")))
+
+
 def listing(comparisons: DataFrame, documents: DataFrame, changes: DataFrame) -> DataFrame:
     """Comparisons with both documents' names and the numbers of changes and reviewed ones."""
     name = lambda s: documents.select(F.col("doc_id").alias(f"doc_{s}"), F.col("filename").alias(f"filename_{s}"))
