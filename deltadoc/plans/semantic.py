@@ -51,6 +51,32 @@ def analyze(candidates: DataFrame, ask: Callable[[list[dict]], list[dict]], batc
     return out.withColumn("confidence", unit_interval(F.col("confidence")))
 
 
+def arbitrate(cases: DataFrame, ask: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """Choices (cmp_id, section_id_a, choice) of a model on ``cases``.
+
+    ``cases``: ``align.ambiguous`` with ``excerpt_a``, ``excerpt_b`` and ``rival_excerpt``. A comparison's few
+    cases are asked at once, each with its match and its rivals by their ids; ``ask`` answers with ``id`` and
+    ``choice``. Only ids that were offered, or null, count; a comparison whose call fails keeps its matches.
+    """
+    kind = cases.schema["cmp_id"].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        asked, offered = [], {}
+        for (case, a), rows in frame.sort_values(["case", "rank"]).groupby(["case", "section_id_a"], sort=True):
+            first = rows.iloc[0]
+            choices = {first["section_id_b"]: first["excerpt_b"]} | dict(zip(rows["rival"], rows["rival_excerpt"]))
+            offered[f"c{case}"] = a, set(choices)
+            asked.append({"id": f"c{case}", "section": first["excerpt_a"], "choices": choices})
+        try:
+            answers = ask(asked)
+        except Exception:  # the provider's own errors are of any kind
+            answers = []
+        good = [x for x in answers if x.get("id") in offered and (x.get("choice") is None or x["choice"] in offered[x["id"]][1])]
+        return pd.DataFrame([(frame["cmp_id"].iloc[0], offered[x["id"]][0], x.get("choice")) for x in good], columns=["cmp_id", "section_id_a", "choice"])
+
+    return cases.groupBy("cmp_id").applyInPandas(run, f"cmp_id {kind}, section_id_a string, choice string")
+
+
 def allowed(choices: DataFrame, cases: DataFrame) -> DataFrame:
     """Choices (cmp_id, section_id_a, choice) on known cases; a choice must be null, the match or a rival."""
     known = cases.groupBy("cmp_id", "section_id_a").agg(F.array_union(F.collect_set("section_id_b"), F.collect_set("rival")).alias("known"))

@@ -67,3 +67,21 @@ def html(exported: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", row.alias("r")))), lambda x: x.r), "\n")
     head = "<!doctype html><meta charset=\"utf-8\"><title>Changes</title><table><tr>" + "".join(f"<th>{c}</th>" for c in COLUMNS) + "</tr>\n"
     return exported.groupBy("cmp_id").agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("html"))
+
+
+def report(exported: DataFrame, changes: DataFrame, summaries: DataFrame) -> DataFrame:
+    """One HTML report for each comparison: headline, counts, the state of the review, and each change with its citations.
+
+    ``summaries``: cmp_id, headline, total, material, high, medium and low. A comparison without changes has
+    its headline only.
+    """
+    state = F.col("review_status") if "review_status" in changes.columns else F.lit("unreviewed")
+    quote = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("<blockquote><cite>"), T.html_escape(citation_label(F.col(c))), F.lit("</cite> "), T.html_escape(F.col(f"{c}.text")), F.lit("</blockquote>"))).otherwise("")
+    cited = changes.select("cmp_id", "ordinal", F.concat(quote("citation_a"), quote("citation_b")).alias("_cited"), (state != "unreviewed").cast("int").alias("_done"))
+    name = lambda n: T.html_escape(F.col(f"`{n}`"))
+    item = F.concat(F.lit("<li><b>"), name("Review priority"), F.lit("</b> "), name("Summary"), F.lit(" <i>"), name("Review status"), F.lit("</i>"), F.col("_cited"), F.lit("</li>"))
+    rows = exported.join(cited, ["cmp_id", "ordinal"]).select("cmp_id", "_done", F.struct("ordinal", item.alias("li")).alias("x"))
+    lists = rows.groupBy("cmp_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.li), "\n").alias("_list"), F.sum("_done").alias("_done"))
+    counts = F.concat_ws(" · ", *[F.concat(F.col(c).cast("string"), F.lit(f" {c}")) for c in ("total", "material", "high", "medium", "low")], F.concat(F.coalesce("_done", F.lit(0)).cast("string"), F.lit(" reviewed")))
+    page = F.concat(F.lit('<!doctype html><meta charset="utf-8"><h1>'), T.html_escape(F.col("headline")), F.lit("</h1><p>"), counts, F.lit("</p><ol>"), F.coalesce("_list", F.lit("")), F.lit("</ol>"))
+    return summaries.join(lists, "cmp_id", "left").select("cmp_id", page.alias("html"))
