@@ -29,7 +29,7 @@ TOP = 10
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _CHUNK_BYTES = 1 << 22
 _HELD_TERMS = 200_000
-_PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 21
 
 
 def chunks(text: str) -> Iterator[list[bytes]]:
@@ -91,7 +91,7 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def joint_cells(lists: DataFrame) -> DataFrame:
+def joint_cells(lists: DataFrame, at_once: int = PAIRS_AT_ONCE) -> DataFrame:
     """lang, one, other, x, y, terms: how many terms source ``one`` has x times and ``other`` y times, both above 0.
 
     ``lists``: lang and counts, the (sid, n) of one term's sources in order of sid; sources are met within
@@ -113,7 +113,7 @@ def joint_cells(lists: DataFrame) -> DataFrame:
             upto = np.cumsum(after)
             at, wide = 0, max(1, len(values))
             while at < len(n):
-                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS_AT_ONCE, "right")))
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + at_once, "right")))
                 times = after[at:end]
                 one = np.repeat(np.arange(at, end), times)
                 other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times)
