@@ -250,6 +250,27 @@ def segment_tree(spark, sf_dir):
     return sections.join(up, ["doc_id", "parent_id"], "left").select("path", "level", "parent")
 
 
+@query("""WITH RECURSIVE h AS (SELECT o_custkey AS doc, row_number() OVER w AS o, o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 1 + o_orderkey % 4 END AS d, CAST(o_orderkey % 3 + 1 AS INT) AS page, CASE WHEN o_orderkey % 3 <> 1 THEN CAST(o_orderkey % 7 + 1 AS INT) END AS body FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+ r AS (SELECT *, sum(CASE WHEN d IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY o) AS run FROM h),
+ v AS (SELECT *, CAST(coalesce(max(d) OVER (PARTITION BY doc, run), 0) + sum(CASE WHEN d IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc, run ORDER BY o) AS INT) AS level,
+  CASE WHEN d IS NULL THEN 'ORDER ' || k ELSE left('1.1.1.1', 2 * d - 1) || ' Order ' || k END AS label FROM r),
+ p AS (SELECT x.doc, x.o, max(y.o) AS parent FROM v x LEFT JOIN v y ON y.doc = x.doc AND y.o < x.o AND y.level < x.level GROUP BY ALL),
+ s AS (SELECT x.doc, x.o, coalesce(min(y.o), 1000000) AS stop FROM v x LEFT JOIN v y ON y.doc = x.doc AND y.o > x.o AND y.level <= x.level GROUP BY ALL),
+ e AS (SELECT s.doc, s.o, max(y.body) AS last FROM s JOIN v y ON y.doc = s.doc AND y.o >= s.o AND y.o < s.stop GROUP BY ALL),
+ t AS (SELECT doc, o, label AS path FROM v JOIN p USING (doc, o) WHERE parent IS NULL UNION ALL SELECT v.doc, v.o, t.path || ' > ' || v.label FROM t JOIN p ON p.doc = t.doc AND p.parent = t.o JOIN v ON v.doc = p.doc AND v.o = p.o)
+ SELECT CAST(doc AS BIGINT) AS doc_id, CAST(o AS INT) AS order_index, level, 's' || CAST(parent AS VARCHAR) AS parent_id, page AS start_page, greatest(page, coalesce(last, page)) AS end_page, path FROM v JOIN p USING (doc, o) JOIN e USING (doc, o) JOIN t USING (doc, o)""")
+def section_nesting(spark, sf_dir):
+    """A document for each customer, a heading for each order, numbered to four levels or not at all."""
+    o = F.col("o_orderkey")
+    depth = F.when(o % 5 != 0, (1 + o % 4).cast("int"))
+    head = F.when(depth.isNull(), say("ORDER ", o)).otherwise(say(F.substring(F.lit("1.1.1.1"), F.lit(1), 2 * depth - 1), " Order ", o))
+    block = lambda at, page, text: F.struct((o * 2 + at).alias("block_index"), page.cast("int").alias("page"), text.alias("text"))
+    parts = F.array_compact(F.array(block(0, o % 3 + 1, head), F.when(o % 3 != 1, block(1, o % 7 + 1, F.lit("the goods of this order are listed in the annex.")))))
+    blocks = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("doc_id"), F.explode(parts).alias("b")).select("doc_id", "b.*")
+    _, sections = sections_of(plain.described(blocks, unicode=False), unicode=False)
+    return sections.select("doc_id", "order_index", "level", "parent_id", "start_page", "end_page", "path")
+
+
 @query("SELECT doc_id, sha256(text) AS sha256, CASE WHEN doc_id % 10 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'verified' END AS integrity FROM documents WHERE text IS NOT NULL")
 def integrity_check(spark, sf_dir):
     """Stored digests against originals of which some are gone and some were changed."""

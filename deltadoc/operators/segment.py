@@ -1,12 +1,74 @@
-"""Blocks to nested sections by window functions, and section paths by recursion."""
+"""Blocks to nested sections: windows for sections and levels, one sorted pass with a stack for their nesting."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltadoc.functions import text as T
 
+#: Sections and characters of paths that are passed on at once.
+_ROWS, _CHARS = 4096, 1 << 22
+
+
+def nested(sections: DataFrame) -> DataFrame:
+    """doc_id, order_index, parent, last and path of each row of ``sections``.
+
+    ``sections``: doc_id, order_index, level, label and value (an int or null). The parent is the nearest
+    earlier section of a smaller level, ``last`` the greatest value of a section and all below it, ``path`` the labels
+    from the outermost section inwards. Levels below 1 have neither parent nor children; where orders
+    repeat in a document, either comes first.
+
+    A document's sections pass through one task in order, which holds the open ones only: a section of a
+    level closes all of the same and deeper levels, and leaves when it is closed.
+    """
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, stack, out, size = None, [], [], 0
+
+        def close(level: int) -> None:
+            nonlocal size
+            while stack and stack[-1][1] >= level:
+                order, _, parent, last, path = stack.pop()
+                if stack and last is not None and (stack[-1][3] is None or last > stack[-1][3]):
+                    stack[-1][3] = last
+                out.append((doc, order, parent, last, path))
+                size += len(path)
+
+        def full() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            kinds = (("doc_id", kind), ("order_index", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("path", pa.string()))
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(kinds)})
+            out.clear()
+            size = 0
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for own, order, level, label, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != doc:
+                    close(-(1 << 31))
+                    doc = own
+                if level < 1:
+                    out.append((doc, order, None, value, label))
+                    continue
+                close(level)
+                parent, path = (stack[-1][0], f"{stack[-1][4]} > {label}") if stack else (None, label)
+                stack.append([order, level, parent, value, path])
+                if len(out) >= _ROWS or size > _CHARS:
+                    yield from full()
+        close(-(1 << 31))
+        if out:
+            yield from full()
+
+    rows = sections.select("doc_id", F.col("order_index").cast("int"), F.col("level").cast("int"), F.coalesce("label", F.lit("")), F.col("value").cast("int"))
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "order_index")
+    kind = sections.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(walk, f"doc_id {kind}, order_index int, parent int, last int, path string")
+
 
 def sections_of(blocks: DataFrame, unicode: bool = True) -> tuple[DataFrame, DataFrame]:
     """Blocks with their section_id, and the sections with at least one block.
@@ -28,44 +90,28 @@ def sections_of(blocks: DataFrame, unicode: bool = True) -> tuple[DataFrame, Dat
     within = Window.partitionBy("doc_id", "_run").orderBy("block_index").rowsBetween(Window.unboundedPreceding, 0)
     base = F.coalesce(F.first(F.when(numbered, depth)).over(within), F.lit(0))
     headings = headings.withColumn("level", (base + F.sum((~numbered).cast("int")).over(within)).cast("int"))
-    earlier = F.collect_list(F.struct(F.col("section_order").alias("o"), "level")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    above = F.array_max(F.transform(F.filter(earlier, lambda h: h.level < F.col("level")), lambda h: h.o))
-    following = F.collect_list(F.struct(F.col("section_order").alias("o"), "level")).over(order.rowsBetween(1, Window.unboundedFollowing))
-    stop = F.array_min(F.transform(F.filter(following, lambda h: h.level <= F.col("level")), lambda h: h.o))
-    headings = headings.withColumn("_above", above).withColumn("_stop", stop)
-    plain = placed.where(~is_heading).groupBy("doc_id", "section_order").agg(F.max("page").alias("_last"))
-    tree = headings.select(
+    plain = placed.where(~is_heading).groupBy("doc_id", "section_order").agg(F.max("page").alias("_value"))
+    tree = headings.join(plain, ["doc_id", "section_order"], "left").select(
         "doc_id", "section_id", F.col("section_order").alias("order_index"), "section_number", T.heading_body(F.col("text"), F.col("section_number")).alias("heading"),
-        T.normalize_heading(F.col("text"), unicode).alias("normalized_heading"), F.col("page").alias("start_page"),
-        F.when(F.col("_above").isNotNull(), F.concat(F.lit("s"), F.col("_above").cast("string"))).alias("parent_id"), "level", "_stop",
+        T.normalize_heading(F.col("text"), unicode).alias("normalized_heading"), F.col("page").alias("start_page"), "level", "_value",
     )
-    inside = tree.alias("t").join(plain.alias("p"), (F.col("t.doc_id") == F.col("p.doc_id")) & (F.col("p.section_order") >= F.col("t.order_index")) & (F.col("t._stop").isNull() | (F.col("p.section_order") < F.col("t._stop"))), "left")
-    last = inside.groupBy("t.doc_id", "t.section_id").agg(F.max("p._last").alias("_last"))
-    tree = tree.join(last, ["doc_id", "section_id"]).withColumn("end_page", F.greatest("start_page", F.coalesce("_last", "start_page")))
+    places = nested(tree.withColumn("label", F.lit("")).withColumnRenamed("_value", "value")).drop("path")
+    tree = tree.join(places, ["doc_id", "order_index"]).withColumn("end_page", F.greatest("start_page", F.coalesce("last", "start_page")))
+    tree = tree.withColumn("parent_id", F.when(F.col("parent").isNotNull(), F.concat(F.lit("s"), F.col("parent").cast("string"))))
     first_page = blocks.groupBy("doc_id").agg(F.min("page").alias("_first"))
     preamble = placed.where("section_order = 0").groupBy("doc_id").agg(F.max("page").alias("_last")).join(first_page, "doc_id").select(
         "doc_id", F.lit("s0").alias("section_id"), F.lit(0).alias("order_index"), F.lit(None).cast("string").alias("section_number"), F.lit("(preamble)").alias("heading"),
         F.lit("").alias("normalized_heading"), F.col("_first").alias("start_page"), F.col("_last").alias("end_page"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("level"),
     )
-    sections = tree.drop("_stop", "_last").unionByName(preamble)
+    sections = tree.select(preamble.columns).unionByName(preamble)
     return placed.drop("section_order"), with_paths(sections)
 
 
 def with_paths(sections: DataFrame) -> DataFrame:
-    """Adds ``label`` and ``path``, the labels from the outermost section inwards.
-
-    Ancestors are gathered a level at a time; levels count up from 1, so the deepest level bounds the steps.
-    """
+    """Adds ``label`` and ``path``, the labels from the outermost section inwards."""
     rows = sections.withColumn("label", T.section_label(F.col("section_number"), F.col("heading")))
-    tree = F.collect_list(F.struct("order_index", "level", "label")).over(Window.partitionBy("doc_id").orderBy("order_index").rowsBetween(Window.unboundedPreceding, -1))
-    up = F.aggregate(
-        F.reverse(F.when(F.col("level") > 0, tree).otherwise(F.array().cast("array<struct<order_index:int,level:int,label:string>>"))),
-        F.struct(F.col("level").alias("level"), F.array(F.col("label")).alias("path")),
-        lambda a, h: F.when(
-            (h.level < a.level) & (h.level > 0), F.struct(h.level.alias("level"), F.concat(F.array(h.label), a.path).alias("path"))
-        ).otherwise(a),
-    )
-    return rows.withColumn("path", F.array_join(up["path"], " > "))
+    paths = nested(rows.withColumn("value", F.lit(None).cast("int"))).select("doc_id", "order_index", "path")
+    return rows.join(paths, ["doc_id", "order_index"]).select(*rows.columns, "path")
 
 
 def excerpts(blocks: DataFrame, keys: list[str], limit: int = 500) -> DataFrame:
