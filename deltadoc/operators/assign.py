@@ -1,63 +1,114 @@
-"""Optimal one-to-one assignment of scored pairs.
+"""One-to-one assignment of scored pairs: the best total, or the best pair first.
 
-The total margin above a threshold is maximised, so a row may stay alone rather than take a poor partner.
-Pairs that rival no other pair are settled by joins; only rows with several candidates reach the solver.
-A group of few candidates reaches it whole, a larger one by its connected parts, with the same result. A part
-can't be split, and its matrix is dense.
+The best assignment has the greatest total margin above a threshold, so a row may stay alone rather than take a
+poor partner. Pairs that rival no other pair are settled by joins; only rows with several candidates
+reach the solver, a group at a time or, where a group has many candidates, by its connected parts. The solver
+holds a part's candidates and nothing in proportion to rows times columns. A row or column may stand for
+several equal ones (its room).
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltadoc.operators.cut import cut
 
-#: Candidates up to which a group is solved whole.
+#: Candidates up to which a group is solved whole; parts of a group don't touch, so the result is the same.
 WHOLE = 1000
 
 
-def solve(margin: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of the greatest total margin; NaN marks pairs that can't be.
+def solve(rows: list[int], columns: list[int], margin: list[float], room_a: list[int], room_b: list[int]) -> list[int]:
+    """How often each pair (rows[i], columns[i]) of margin[i] is taken, so that the total margin is greatest.
 
-    Each row may instead take a private place of margin 0. Rows are added one by one along the cheapest
-    alternating path, with prices on columns that keep all reduced costs positive.
+    Row r is taken room_a[r] times at most, column c room_b[c] times. Rows are added one by one along the
+    cheapest path that ends at a column with room or at a row that is better left alone. Prices keep all reduced
+    costs positive, so a path is found with a heap over the pairs that it meets. Of equal ends the column
+    with room, then the first one, is taken; a margin of 0 is better than none.
     """
-    rows, columns = margin.shape
-    if not rows or not columns:
-        return []
-    wide = np.full((rows, columns + rows), np.inf)
-    wide[:, :columns] = np.where(np.isnan(margin), np.inf, -margin)
-    wide[np.arange(rows), columns + np.arange(rows)] = 0.0
-    price, owner, held = np.zeros(columns + rows), np.full(columns + rows, -1), np.full(rows, -1)
-    base = np.zeros(rows)
-    for start in range(rows):
-        reach = np.full(columns + rows, np.inf)
-        came, done = np.full(columns + rows, -1), np.zeros(columns + rows, bool)
-        row, cost, visited = start, 0.0, []
-        while True:
-            through = cost + wide[row] - base[row] - price
-            better = ~done & (through < reach)
-            reach[better], came[better] = through[better], row
-            column = int(np.argmin(np.where(done, np.inf, reach)))
-            cost, done[column] = reach[column], True
-            if owner[column] < 0:
-                break
-            visited.append(column)
-            row = int(owner[column])
-        base[start] += cost
-        for c in visited:
-            base[owner[c]] += cost - reach[c]
-            price[c] -= cost - reach[c]
-        while True:
-            row = int(came[column])
-            owner[column] = row
-            held[row], column = column, int(held[row])
-            if row == start:
+    cost = [-m for m in margin]
+    near: list[list[int]] = [[] for _ in room_a]
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i], columns[i])):
+        near[rows[i]].append(i)
+    base = [min((cost[i] for i in own), default=0.0) for own in near]
+    price = [0.0] * len(room_b)
+    left_b = list(room_b)
+    times = [0] * len(rows)
+    holders: list[dict[int, None]] = [{} for _ in room_b]  # the pairs by which a column is taken
+    for start, left in enumerate(room_a):
+        while left > 0 and near[start]:
+            reach: dict[int, float] = {}
+            came: dict[int, int] = {}
+            at_row, by, done, heap = {start: 0.0}, {}, {}, []
+            end, end_cost, found = start, -base[start], -1  # the start itself left alone
+            row, so_far = start, 0.0
+            while True:
+                alone = so_far - base[row]
+                if alone < end_cost:
+                    end, end_cost = row, alone
+                for i in near[row]:
+                    c = columns[i]
+                    if c in done:
+                        continue
+                    through = max(so_far, so_far + cost[i] - base[row] - price[c])
+                    if through <= end_cost and through < reach.get(c, np.inf):
+                        reach[c], came[c] = through, i
+                        heappush(heap, (through, left_b[c] == 0, c))
+                row = -1
+                while heap:
+                    # Rows that hold the column are met one by one; the column comes back until all are.
+                    d, full, c = heappop(heap)
+                    if d > end_cost or d > reach[c]:
+                        continue
+                    if not full:
+                        found, end_cost = c, d
+                        break
+                    done[c] = d
+                    new = next((i for i in holders[c] if rows[i] not in at_row), None)
+                    if new is None:
+                        continue
+                    heappush(heap, (d, full, c))
+                    row, so_far = rows[new], d
+                    at_row[row], by[row] = d, new
+                    break
+                if row < 0:
+                    break
+            for r, d in at_row.items():
+                if d < end_cost:
+                    base[r] += end_cost - d
+            for c, d in done.items():
+                if d < end_cost:
+                    price[c] -= end_cost - d
+            if found < 0 and end == start:
                 break
-    return [(r, int(c)) for r, c in enumerate(held) if 0 <= c < columns]
+            path, more = [], left
+            if found >= 0:
+                more, c = min(more, left_b[found]), found
+            else:
+                path.append((by[end], -1))
+                c = columns[by[end]]
+            while True:
+                path.append((came[c], 1))
+                r = rows[came[c]]
+                if r == start:
+                    break
+                path.append((by[r], -1))
+                c = columns[by[r]]
+            more = min([more, *[times[i] for i, sign in path if sign < 0]])
+            for i, sign in path:
+                times[i] += sign * more
+                if times[i]:
+                    holders[columns[i]][i] = None
+                else:
+                    holders[columns[i]].pop(i, None)
+            if found >= 0:
+                left_b[found] -= more
+            left -= more
+    return times
 
 
 def components(rest: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
@@ -85,28 +136,77 @@ def components(rest: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
     return rest.withColumn("_node", node_a).join(parts, [*group, "_node"], "left").withColumn("_part", F.coalesce("_part", "_node")).drop("_node")
 
 
-def assign(scored: DataFrame, group: list[str], a: str, b: str, score: str, threshold: float) -> DataFrame:
+def assign(scored: DataFrame, group: list[str], a: str, b: str, score: str, threshold: float, *, room: tuple[str, str] | None = None, mode: str = "best") -> DataFrame:
     """The rows of ``scored`` that are assigned, one for each ``a`` and ``b`` of a ``group`` at most.
 
-    ``a`` and ``b`` are numbers in document order within the group; ties go to the solver's first find.
+    ``a`` and ``b`` are numbers in document order within the group; of equal totals the solver takes earlier
+    columns for earlier rows. ``room`` names two columns with how many equal rows an ``a`` and a ``b`` stand for;
+    the result then has ``times``, how often a row is taken. Mode ``greedy`` takes the best score first (see
+    ``greedy``) and has no rooms.
     """
     rows = scored.where(F.col(score) >= threshold)
+    if mode == "greedy":
+        return greedy(rows, group, a, b, score)
+    room_a, room_b = room or ("_room_a", "_room_b")
+    if not room:
+        rows = rows.withColumns({room_a: F.lit(1), room_b: F.lit(1)})
     count = lambda c, name: rows.groupBy(*group, c).agg(F.count("*").alias(name))
     rows = rows.join(count(a, "_na"), [*group, a]).join(count(b, "_nb"), [*group, b])
-    lone = rows.where("_na = 1 and _nb = 1").drop("_na", "_nb")
+    lone = rows.where("_na = 1 and _nb = 1").withColumn("times", F.least(room_a, room_b).cast("int")).drop("_na", "_nb")
     rest = rows.where("_na > 1 or _nb > 1").drop("_na", "_nb")
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = np.unique(frame[a]), np.unique(frame[b])
-        at_a, at_b = np.searchsorted(left, frame[a]), np.searchsorted(right, frame[b])
-        margin = np.full((len(left), len(right)), np.nan)
-        margin[at_a, at_b] = frame[score] - threshold
-        kept = set(solve(margin))
-        return frame[[(i, j) in kept for i, j in zip(at_a, at_b)]]
+        (left, first_a, at_a), (right, first_b, at_b) = (np.unique(frame[c], return_index=True, return_inverse=True) for c in (a, b))
+        rooms = frame[room_a].to_numpy()[first_a], frame[room_b].to_numpy()[first_b]
+        times = solve(at_a.tolist(), at_b.tolist(), (frame[score] - threshold).tolist(), *[r.tolist() for r in rooms])
+        return frame.assign(times=np.array(times, np.int32))[np.array(times) > 0]
 
     rest = cut(rest)
     wide = rest.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > WHOLE).drop("_n")
     few = rest.join(wide, group, "left_anti").withColumn("_part", F.lit(0).cast("long"))
     many = rest.join(wide, group, "left_semi")
     parts = few if many.isEmpty() else few.unionByName(components(many, group, a, b).select(few.columns))
-    return lone.unionByName(parts.groupBy(*group, "_part").applyInPandas(pick, parts.schema).select(lone.columns))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
+    found = lone.unionByName(parts.groupBy(*group, "_part").applyInPandas(pick, f"{kinds}, times int").select(lone.columns))
+    return found if room else found.drop(room_a, room_b, "times")
+
+
+def greedy(rows: DataFrame, group: list[str], a: str, b: str, score: str) -> DataFrame:
+    """What is taken when pairs are gone through by falling score, then by ``a``, then by ``b``, and each takes both its ends.
+
+    A pair that comes first among all pairs of its ``a`` and of its ``b`` is taken whatever else happens. So each
+    round takes all such pairs and drops those that meet them; the first pair of a group is always one.
+    """
+    first = lambda end, other: F.row_number().over(Window.partitionBy(*group, end).orderBy(F.desc(score), other)) == 1
+    hit = lambda end: F.max("_taken").over(Window.partitionBy(*group, end))
+    rest, taken = rows, []
+    while True:
+        marked = rest.withColumn("_taken", first(a, b)).withColumn("_taken", F.col("_taken") & first(b, a))
+        marked = cut(marked.withColumn("_hit_b", hit(b)).withColumn("_hit_a", hit(a)))
+        taken.append(marked.where("_taken").select(rows.columns))
+        rest = marked.where("not _hit_a and not _hit_b").select(rows.columns)
+        if rest.isEmpty():
+            break
+    found = taken[0]
+    for more in taken[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def spread(found: DataFrame, members: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
+    """``found`` (with ``times``, each ``a`` and ``b`` standing for several rows) as pairs of single rows.
+
+    ``members``: group, side (A or B), ``rep`` (the number in ``a`` or ``b``) and n. A rep's rows are dealt in order
+    to its partners in theirs.
+    """
+    def from_to(end: str, other: str) -> Column:
+        return F.coalesce(F.sum("times").over(Window.partitionBy(*group, end).orderBy(other).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    turn = members.withColumn("_turn", F.row_number().over(Window.partitionBy(*group, "side", "rep").orderBy("n")))
+    own = lambda side, end: turn.where(F.col("side") == side).select(*group, F.col("rep").alias(end), F.col("_turn").alias(f"_turn_{end}"), F.col("n").alias(f"_n_{end}"))
+    rows = found.withColumn(f"_turn_{a}", from_to(a, b)).withColumn(f"_turn_{b}", from_to(b, a))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    for side, end in (("A", a), ("B", b)):
+        rows = rows.withColumn(f"_turn_{end}", (F.col(f"_turn_{end}") + F.col("_k")).cast("int")).join(own(side, end), [*group, end, f"_turn_{end}"])
+        rows = rows.withColumn(end, F.col(f"_n_{end}"))
+    return rows.select([c for c in found.columns if c != "times"])

@@ -10,7 +10,7 @@ from deltadoc.functions import diff as D
 from deltadoc.functions import entities as E
 from deltadoc.functions import similarity as S
 from deltadoc.functions import text as T
-from deltadoc.operators.assign import assign, solve
+from deltadoc.operators.assign import assign, solve, spread
 
 
 def one(spark, **columns):
@@ -143,11 +143,63 @@ def brute(margin):
 
 def test_assignment_equals_brute_force():
     rng = np.random.default_rng(3)
-    for _ in range(150):
-        m = rng.random((rng.integers(1, 6), rng.integers(1, 6)))
+    for k in range(300):
+        m = rng.random((rng.integers(1, 6), rng.integers(1, 6))) if k % 2 else rng.integers(0, 3, (rng.integers(1, 6), rng.integers(1, 6))) / 4
         m[rng.random(m.shape) < 0.3] = np.nan
-        pairs = solve(m)
-        assert len({c for _, c in pairs}) == len(pairs) and abs(sum(m[p] for p in pairs) - brute(m)) < 1e-9
+        at = rng.permutation(np.argwhere(~np.isnan(m)))
+        times = solve(at[:, 0].tolist(), at[:, 1].tolist(), [m[r, c] for r, c in at], [1] * m.shape[0], [1] * m.shape[1])
+        pairs = [tuple(x) for x, n in zip(at.tolist(), times) if n]
+        assert len({c for _, c in pairs}) == len({r for r, _ in pairs}) == len(pairs) and abs(sum(m[p] for p in pairs) - brute(m)) < 1e-9
+
+
+def test_assignment_of_equal_rows():
+    """A row that stands for several equal ones gives the total of its copies."""
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        m = rng.integers(0, 4, (rng.integers(1, 4), rng.integers(1, 4))) / 4
+        room_a, room_b = rng.integers(1, 3, m.shape[0]), rng.integers(1, 3, m.shape[1])
+        at = np.argwhere(m >= 0)
+        times = solve(at[:, 0].tolist(), at[:, 1].tolist(), [m[r, c] for r, c in at], room_a.tolist(), room_b.tolist())
+        taken = np.zeros(m.shape, int)
+        taken[at[:, 0], at[:, 1]] = times
+        assert (taken.sum(axis=1) <= room_a).all() and (taken.sum(axis=0) <= room_b).all()
+        assert abs((taken * m).sum() - brute(np.repeat(np.repeat(m, room_a, axis=0), room_b, axis=1))) < 1e-9
+
+
+def test_a_large_knot_of_rivals_needs_memory_for_its_pairs_only():
+    import random
+    import tracemalloc
+
+    rng, n = random.Random(1), 5000
+    pairs = sorted({(r, rng.randrange(n)) for r in range(n) for _ in range(4)})
+    tracemalloc.start()
+    times = solve([r for r, _ in pairs], [c for _, c in pairs], [rng.random() for _ in pairs], [1] * n, [1] * n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(times) > 0.9 * n and peak < 20_000_000  # a dense matrix of numbers would take 400 MB
+
+
+def test_spread_deals_equal_rows_in_order(spark):
+    found = spark.createDataFrame([(1, 10, 5, 2), (1, 10, 7, 1), (1, 20, 7, 1)], "g int, a int, b int, times int")
+    members = [("A", 10, 10), ("A", 10, 12), ("A", 10, 13), ("A", 20, 20), ("B", 5, 5), ("B", 5, 6), ("B", 7, 7), ("B", 7, 9)]
+    got = spread(found, spark.createDataFrame([(1, *m) for m in members], "g int, side string, rep int, n int"), ["g"], "a", "b")
+    assert sorted((r.a, r.b) for r in got.collect()) == [(10, 5), (12, 6), (13, 7), (20, 9)]
+
+
+def test_greedy_equals_a_scan_of_sorted_scores(spark):
+    import random
+
+    rng, rows = random.Random(8), []
+    for g in range(40):
+        rows += [(g, a, b, rng.randint(1, 6) / 10) for a in range(6) for b in range(6) if rng.random() < 0.6]
+    rows += [(99, k, k + d, 0.3 + (2 * k + d) / 1000) for k in range(12) for d in (0, 1)]  # each round settles one end of this chain
+    want, used = set(), set()
+    for g, a, b, s in sorted(rows, key=lambda r: (r[0], -r[3], r[1], r[2])):
+        if s >= 0.3 and not {(g, "a", a), (g, "b", b)} & used:
+            used |= {(g, "a", a), (g, "b", b)}
+            want.add((g, a, b))
+    got = assign(spark.createDataFrame(rows, "g int, a int, b int, s double"), ["g"], "a", "b", "s", 0.3, mode="greedy")
+    assert {(r.g, r.a, r.b) for r in got.collect()} == want
 
 
 def test_assignment_prefers_margin(spark):
