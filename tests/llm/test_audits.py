@@ -121,11 +121,22 @@ class Plain:
                 at += len(x)
         a, b = spans
         cuts = sorted({y for _, y, _ in a} & {y for _, y, _ in b})
-        groups, begin = [], 0
-        for c in cuts:
-            groups.append("|".join(",".join(str(i) for x, y, i in side if begin <= x and y <= c) for side in spans))
-            begin = c
-        links = collections.Counter((i, j) for x, y, i in a for u, v, j in b if x < v and u < y)
+        at = {c: k for k, c in enumerate(cuts)}
+        groups = [([], []) for _ in cuts]
+        for side, own in enumerate(spans):
+            k = 0
+            for _, y, i in own:
+                groups[k][side].append(str(i))
+                k += y in at
+        groups = ["|".join(map(",".join, g)) for g in groups]
+        links, first = collections.Counter(), 0
+        for x, y, i in a:
+            while first < len(b) and b[first][1] <= x:
+                first += 1
+            k = first
+            while k < len(b) and b[k][0] < y:
+                links[i, b[k][2]] += 1
+                k += 1
         return len(a), len(b), len(cuts), links.total(), hashlib.sha256(";".join(groups).encode()).hexdigest(), links
 
 
