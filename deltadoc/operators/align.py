@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from deltadoc import fixed
 from deltadoc.functions import similarity as S
 from deltadoc.functions import text as T
-from deltadoc.operators.assign import assign
+from deltadoc.operators.assign import assign, spread
 from deltadoc.operators.cut import cut
 
 
@@ -67,31 +67,88 @@ def _comparable(blocks: DataFrame) -> DataFrame:
     return blocks.where(~F.col("block_type").isin("header", "footer", "table", "heading") & (F.col("normalized") != ""))
 
 
+def _posted(rows: DataFrame, weights: DataFrame, scope: list[str]) -> DataFrame:
+    """scope, n, mass (all weight of the block), term, weight and after: the weight from this term on, heaviest first."""
+    terms = rows.select(*{"cmp_id", *scope}, "n", F.explode(F.array_distinct(T.content_terms(F.col("normalized")))).alias("term")).join(weights, ["cmp_id", "term"])
+    own = Window.partitionBy(*scope, "n")
+    return terms.withColumn("mass", F.sum("weight").over(own)).withColumn("after", F.sum("weight").over(own.orderBy(F.desc("weight"), "term").rowsBetween(0, Window.unboundedFollowing)))
+
+
+def _met(short: DataFrame, long: DataFrame, scope: list[str], share: float, hot: int) -> DataFrame:
+    """Pairs (n of ``short`` as x, n of ``long`` as y) that share one of the heaviest terms of x, x being no heavier.
+
+    A term of more than ``hot`` blocks x is split into as many parts as keep each below it; blocks y go to all of them.
+    """
+    key = [*scope, "term"]
+    x = short.where(F.col("after") >= share * F.col("mass") - 1e-9).select(*key, F.col("n").alias("x"), F.col("mass").alias("mass_x"))
+    many = x.groupBy(*key).agg(F.ceil(F.count("*") / hot).cast("int").alias("parts")).where("parts > 1")
+    x = x.join(many, key, "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("x"), F.col("parts"))).otherwise(0).cast("int")).drop("parts")
+    y = long.select(*key, F.col("n").alias("y"), F.col("mass").alias("mass_y"), "after").join(many, key, "left")
+    y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return x.join(y, [*key, "part"]).where((F.col("mass_x") <= F.col("mass_y")) & (F.col("after") >= share * F.col("mass_x") - 1e-9)).select(*scope, "x", "y")
+
+
+def candidate_pairs(terms_a: DataFrame, terms_b: DataFrame, scope: list[str], share: float, hot: int = 1000) -> DataFrame:
+    """scope, n_a and n_b of all blocks whose common weight may be ``share`` of the lighter one's mass.
+
+    Terms have one order, the heaviest first. What two blocks share can't weigh more than what either has from
+    their first common term on; so that term must be among the lighter block's first ones, those behind which
+    at least ``share`` of its mass is left, and only these are met with all terms of the other side.
+    """
+    ways = [_met(terms_a, terms_b, scope, share, hot).withColumnsRenamed({"x": "n_a", "y": "n_b"}), _met(terms_b, terms_a, scope, share, hot).withColumnsRenamed({"x": "n_b", "y": "n_a"})]
+    return ways[0].unionByName(ways[1]).distinct()
+
+
+def block_classes(blocks: DataFrame, scope: list[str]) -> DataFrame:
+    """Blocks with ``rep``, the first of those of equal text and type within the scope; rows of tables with a key stay alone."""
+    alone = F.when((F.col("block_type") == "table_row") & F.col("row_key").isNotNull(), F.col("n"))
+    return blocks.withColumn("_alone", alone).withColumn("rep", F.min("n").over(Window.partitionBy(*scope, "block_type", "normalized", "_alone"))).drop("_alone")
+
+
 def block_pairs(a: DataFrame, b: DataFrame, weights: DataFrame, scope: list[str], threshold: float) -> DataFrame:
     """Scored pairs of blocks within a ``scope`` that can reach ``threshold``.
 
     A pair's score is 0.45 of its lexical similarity and 0.55 of its shared weight of terms, so pairs that
-    reach the threshold share terms: they meet by terms, and those that share too little are left out before
-    texts are compared.
+    reach the threshold share a part of their terms' weight: they meet by ``candidate_pairs``, and those that share
+    too little, or whose lengths differ too much, are left out before texts are compared. Blocks that
+    ``block_classes`` gives the same ``rep`` are one here, with how many they are in ``room_a`` and ``room_b``.
     """
-    cols = ["n", "block_type", "normalized", "row_key"]
-    sides = []
+    share = (threshold - 1e-9 - fixed.W_LEXICAL) / fixed.W_TERMS
+    sides, posted = [], []
     for df, end in ((a, "a"), (b, "b")):
-        rows = df.select(*scope, *[F.col(c).alias(f"{c}_{end}") for c in cols])
-        terms = rows.select(*scope, f"n_{end}", F.explode(F.array_distinct(T.content_terms(F.col(f"normalized_{end}")))).alias("term")).join(weights, ["cmp_id", "term"])
-        mass = terms.groupBy(*scope, f"n_{end}").agg(F.sum("weight").alias(f"mass_{end}"))
-        sides.append((rows.join(mass, [*scope, f"n_{end}"], "left"), terms))
-    (rows_a, terms_a), (rows_b, terms_b) = sides
-    shared = terms_a.join(terms_b.drop("weight"), [*scope, "term"]).groupBy(*scope, "n_a", "n_b").agg(F.sum("weight").alias("shared"))
-    met = shared.join(rows_a, [*scope, "n_a"]).join(rows_b, [*scope, "n_b"])
-    met = met.withColumn("terms", F.col("shared") / F.least("mass_a", "mass_b")).where(F.col("terms") * fixed.W_TERMS + fixed.W_LEXICAL >= threshold - 1e-9)
-    key = lambda c: T.strip_list_marker(F.col(c))
-    score = F.least(F.lit(1.0), S.lexical_similarity(key("normalized_a"), key("normalized_b")) * fixed.W_LEXICAL + F.col("terms") * fixed.W_TERMS)
-    return met.where("block_type_a = block_type_b or (block_type_a != 'table_row' and block_type_b != 'table_row')").withColumn("score", score)
+        reps = df.groupBy(*scope, "rep").agg(F.count("*").cast("int").alias(f"room_{end}"), *[F.first(c).alias(c) for c in ("block_type", "normalized", "row_key")], *([] if "cmp_id" in scope else [F.first("cmp_id").alias("cmp_id")])).withColumnRenamed("rep", "n")
+        terms = cut(_posted(reps, weights, scope))
+        posted.append(terms)
+        weighed = terms.groupBy(*scope, "n").agg(F.first("mass").alias(f"mass_{end}"), F.array_sort(F.collect_list(F.struct("term", "weight"))).alias(f"terms_{end}"))
+        rows = reps.join(weighed, [*scope, "n"]).withColumn("key", T.strip_list_marker(F.col("normalized")))
+        sizes = F.array(F.length("key"), F.length(S.sorted_words(F.col("key"))))
+        rows = rows.withColumn(f"sizes_{end}", F.transform(sizes, lambda x: F.least(x, F.lit(fixed.COMPARE_CHARS))))
+        sides.append(rows.select(*scope, f"room_{end}", f"mass_{end}", f"terms_{end}", f"sizes_{end}", *[F.col(c).alias(f"{c}_{end}") for c in ("n", "block_type", "normalized", "row_key", "key")]))
+    met = candidate_pairs(*posted, scope, share).join(sides[0], [*scope, "n_a"]).join(sides[1], [*scope, "n_b"])
+    met = met.where("block_type_a = block_type_b or (block_type_a != 'table_row' and block_type_b != 'table_row')")
+    names = F.transform("terms_b", lambda t: t["term"])
+    shared = F.aggregate(F.filter("terms_a", lambda t: F.array_contains(names, t["term"])), F.lit(0.0), lambda s, t: s + t["weight"])
+    met = met.withColumn("shared", shared).withColumn("terms", F.col("shared") / F.least("mass_a", "mass_b"))
+    # No common subsequence is longer than the shorter text.
+    most = lambda k: F.when(F.col("sizes_a")[k] + F.col("sizes_b")[k] > 0, 2 * F.least(F.col("sizes_a")[k], F.col("sizes_b")[k]) / (F.col("sizes_a")[k] + F.col("sizes_b")[k])).otherwise(F.lit(1.0))
+    met = met.where(F.col("terms") * fixed.W_TERMS + F.greatest(most(0), most(1)) * fixed.W_LEXICAL >= threshold - 1e-9)
+    score = F.least(F.lit(1.0), S.lexical_similarity(F.col("key_a"), F.col("key_b")) * fixed.W_LEXICAL + F.col("terms") * fixed.W_TERMS)
+    return met.withColumn("score", score)
 
 
 def _scored(pairs: DataFrame, *keep: str) -> DataFrame:
-    return cut(pairs.select("cmp_id", *keep, "n_a", "n_b", "score"))
+    return cut(pairs.select("cmp_id", *keep, "n_a", "n_b", "room_a", "room_b", "score"))
+
+
+def _members(found: DataFrame, classes: dict[str, DataFrame], scope: list[str]) -> DataFrame:
+    """Assigned pairs of classes as pairs of blocks; classes of one block each are that already."""
+    found = cut(found)
+    one = found.where("room_a = 1 and room_b = 1").drop("times", "room_a", "room_b")
+    more = found.where("room_a > 1 or room_b > 1").drop("room_a", "room_b")
+    if more.isEmpty():
+        return one
+    members = [df.select(*scope, F.lit(side).alias("side"), "rep", "n") for side, df in classes.items()]
+    return one.unionByName(spread(more, members[0].unionByName(members[1]), scope, "n_a", "n_b"))
 
 
 def align_blocks(blocks: DataFrame, alignments: DataFrame) -> DataFrame:
@@ -115,19 +172,21 @@ def align_blocks(blocks: DataFrame, alignments: DataFrame) -> DataFrame:
     less = lambda df, done, end: df.join(done.select("cmp_id", F.col(f"n_{end}").alias("n")), ["cmp_id", "n"], "left_anti")
     rest_a, rest_b = less(a, same, "a"), less(b, same, "b")
     scope = ["cmp_id", "al_no"]
-    texts = block_pairs(rest_a.where("status = 'MATCHED'"), rest_b.where("status = 'MATCHED'"), weights, scope, fixed.BLOCK_THRESHOLD)
+    classes = {s: cut(block_classes(df.where("status = 'MATCHED'"), scope)) for s, df in (("A", rest_a), ("B", rest_b))}
+    texts = block_pairs(classes["A"], classes["B"], weights, scope, fixed.BLOCK_THRESHOLD)
     texts = texts.where("block_type_a != 'table_row' or row_key_a is null or row_key_b is null")
     texts = _scored(texts, "al_no")
     row = lambda df, end: df.where("block_type = 'table_row' and row_key is not null and status = 'MATCHED'").select(*scope, F.col("n").alias(f"n_{end}"), F.col("row_key").alias(f"key_{end}"))
     alike = S.ratio(F.col("key_a"), F.col("key_b"))
     rows = row(rest_a, "a").join(row(rest_b, "b"), scope).withColumn("r", alike)
-    rows = rows.select(*scope, "n_a", "n_b", F.when(F.col("r") >= 0.85, F.greatest(F.lit(0.9), F.col("r"))).otherwise(F.col("r") * 0.5).alias("score"))
-    changed = cut(assign(texts.unionByName(cut(rows)), scope, "n_a", "n_b", "score", fixed.BLOCK_THRESHOLD))
+    rows = rows.select(*scope, "n_a", "n_b", F.lit(1).alias("room_a"), F.lit(1).alias("room_b"), F.when(F.col("r") >= 0.85, F.greatest(F.lit(0.9), F.col("r"))).otherwise(F.col("r") * 0.5).alias("score"))
+    changed = cut(_members(assign(texts.unionByName(cut(rows)), scope, "n_a", "n_b", "score", fixed.BLOCK_THRESHOLD, room=("room_a", "room_b")), classes, scope))
     changed = changed.select("cmp_id", "al_no", F.lit("MODIFIED").alias("status"), "n_a", "n_b", T.half_up(F.col("score"), 4).alias("similarity"))
     left_a, left_b = less(rest_a, changed, "a"), less(rest_b, changed, "b")
-    moves = block_pairs(left_a, left_b, weights, ["cmp_id"], fixed.MOVE_THRESHOLD).where("block_type_a = block_type_b")
-    moved = assign(_scored(moves), ["cmp_id"], "n_a", "n_b", "score", fixed.MOVE_THRESHOLD)
-    moved = cut(moved).join(left_a.select("cmp_id", F.col("n").alias("n_a"), "al_no"), ["cmp_id", "n_a"])
+    classes = {s: cut(block_classes(df, ["cmp_id"])) for s, df in (("A", left_a), ("B", left_b))}
+    moves = block_pairs(classes["A"], classes["B"], weights, ["cmp_id"], fixed.MOVE_THRESHOLD).where("block_type_a = block_type_b")
+    moved = assign(_scored(moves), ["cmp_id"], "n_a", "n_b", "score", fixed.MOVE_THRESHOLD, room=("room_a", "room_b"))
+    moved = cut(_members(moved, classes, ["cmp_id"])).join(left_a.select("cmp_id", F.col("n").alias("n_a"), "al_no"), ["cmp_id", "n_a"])
     moved = moved.select("cmp_id", "al_no", F.lit("MOVED").alias("status"), "n_a", "n_b", T.half_up(F.col("score"), 4).alias("similarity"))
     gone = less(left_a, moved, "a").select("cmp_id", "al_no", F.lit("REMOVED").alias("status"), F.col("n").alias("n_a"), F.lit(None).cast("int").alias("n_b"), F.lit(0.0).alias("similarity"))
     new = less(left_b, moved, "b").select("cmp_id", "al_no", F.lit("ADDED").alias("status"), F.lit(None).cast("int").alias("n_a"), F.col("n").alias("n_b"), F.lit(0.0).alias("similarity"))
