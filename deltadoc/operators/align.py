@@ -16,7 +16,7 @@ def _prefixed(df: DataFrame, end: str, keep: tuple[str, ...] = ("cmp_id",)) -> D
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(f"{c}_{end}") for c in df.columns])
 
 
-def align_sections(sections: DataFrame, blocks: DataFrame, entities: DataFrame) -> DataFrame:
+def align_sections(sections: DataFrame, blocks: DataFrame, entities: DataFrame, mode: str = "best") -> DataFrame:
     """Matched, added and removed sections of each comparison.
 
     All tables: cmp_id and side (A or B). All sections of one version meet all of the other; five signals
@@ -44,7 +44,7 @@ def align_sections(sections: DataFrame, blocks: DataFrame, entities: DataFrame)
     pairs = cut(pairs)
     weights = {"heading": fixed.W_HEADING, "content": fixed.W_CONTENT, "entity": fixed.W_ENTITY, "position": fixed.W_POSITION, "numbering": fixed.W_NUMBERING}
     score = sum((F.col(f"signals.{k}") * w for k, w in list(weights.items())[1:]), F.col("signals.heading") * fixed.W_HEADING)
-    found = assign(pairs.withColumn("score", score), ["cmp_id"], "order_a", "order_b", "score", fixed.SECTION_THRESHOLD)
+    found = assign(pairs.withColumn("score", score), ["cmp_id"], "order_a", "order_b", "score", fixed.SECTION_THRESHOLD, mode=mode)
     matched = found.select("cmp_id", F.lit("MATCHED").alias("status"), "section_id_a", "section_id_b", "order_a", "order_b", T.half_up(F.col("score"), 4).alias("confidence"), "signals")
     alone = [matched]
     for own, other, status in (("a", "b", "REMOVED"), ("b", "a", "ADDED")):
@@ -140,6 +140,13 @@ def _scored(pairs: DataFrame, *keep: str) -> DataFrame:
     return cut(pairs.select("cmp_id", *keep, "n_a", "n_b", "room_a", "room_b", "score"))
 
 
+def anchors(a: DataFrame, b: DataFrame, scope: list[str]) -> DataFrame:
+    """scope, n_a and n_b of blocks of equal ``key``, each used once, the first with the first."""
+    turn = F.row_number().over(Window.partitionBy(*scope, "key").orderBy("n")).alias("turn")
+    one = lambda df, end: df.select(*scope, "key", turn, F.col("n").alias(f"n_{end}"))
+    return one(a, "a").join(one(b, "b"), [*scope, "key", "turn"]).drop("key", "turn")
+
+
 def _members(found: DataFrame, classes: dict[str, DataFrame], scope: list[str]) -> DataFrame:
     """Assigned pairs of classes as pairs of blocks; classes of one block each are that already."""
     found = cut(found)
@@ -165,9 +172,7 @@ def align_blocks(blocks: DataFrame, alignments: DataFrame) -> DataFrame:
         where = alignments.where(F.col(f"section_id_{s.lower()}").isNotNull()).select("cmp_id", F.col(f"section_id_{s.lower()}").alias("section_id"), "al_no", "status")
         sides[s] = own.join(where, ["cmp_id", "section_id"]).withColumn("key", T.strip_list_marker(F.col("normalized")))
     a, b = cut(sides["A"]), cut(sides["B"])
-    turn = Window.partitionBy("cmp_id", "al_no", "key").orderBy("n")
-    anchor = lambda df, end: df.where("status = 'MATCHED'").select("cmp_id", "al_no", "key", F.row_number().over(turn).alias("turn"), F.col("n").alias(f"n_{end}"))
-    same = anchor(a, "a").join(anchor(b, "b"), ["cmp_id", "al_no", "key", "turn"])
+    same = anchors(a.where("status = 'MATCHED'"), b.where("status = 'MATCHED'"), ["cmp_id", "al_no"])
     same = cut(same).select("cmp_id", "al_no", F.lit("UNCHANGED").alias("status"), "n_a", "n_b", F.lit(1.0).alias("similarity"))
     less = lambda df, done, end: df.join(done.select("cmp_id", F.col(f"n_{end}").alias("n")), ["cmp_id", "n"], "left_anti")
     rest_a, rest_b = less(a, same, "a"), less(b, same, "b")
@@ -210,16 +215,36 @@ def ambiguous(alignments: DataFrame, sections: DataFrame) -> DataFrame:
     return pairs.select("cmp_id", "case", "al_no", "section_id_a", "section_id_b", "rival", "rank", "score")
 
 
-def arbitrated(alignments: DataFrame, choices: DataFrame) -> DataFrame:
+def arbitrated(alignments: DataFrame, choices: DataFrame, mode: str = "split") -> DataFrame:
     """Alignments with decisions (cmp_id, section_id_a, choice): null splits a match into removed and added.
 
-    Other choices change nothing, as every rival is a section of the result already.
+    In mode ``split`` other choices change nothing, as every rival is a section of the result already. In mode
+    ``fixed`` a choice of an added section pairs it with the one asked about: its added row goes, and the former
+    partner, which may not be paired with that section again, is added. Of several cases that choose one
+    section the surest gets it (column ``confidence``, where there is one), then the first in order; the
+    others keep their matches. Of several decisions on one section the surest counts, then a null, then the least.
     """
-    split = choices.where("choice is null").select("cmp_id", "section_id_a").distinct().withColumn("_split", F.lit(True))
-    rows = alignments.join(split, ["cmp_id", "section_id_a"], "left").withColumn("_split", F.coalesce("_split", F.lit(False)) & (F.col("status") == "MATCHED"))
-    kept = rows.withColumn("status", F.when(F.col("_split"), "REMOVED").otherwise(F.col("status")))
-    orphan = rows.where("_split").withColumn("status", F.lit("ADDED")).withColumn("section_id_a", F.lit(None).cast("string")).withColumn("order_a", F.lit(None).cast("int")).withColumn("confidence", F.lit(1.0)).withColumn("signals", F.lit(None).cast(alignments.schema["signals"].dataType))
-    for c, kind in (("section_id_b", "string"), ("order_b", "int")):
-        kept = kept.withColumn(c, F.when(~F.col("_split"), F.col(c)).cast(kind))
+    if mode not in ("split", "fixed"):
+        raise ValueError(f"unknown mode of arbitration: {mode}")
+    sure = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)) if "confidence" in choices.columns else F.lit(0.0)
+    asked = choices.select("cmp_id", "section_id_a", F.col("choice").alias("_choice"), sure.alias("_sure"))
+    asked = asked.where("section_id_a is not null" if mode == "fixed" else "section_id_a is not null and _choice is null")
+    first = F.row_number().over(Window.partitionBy("cmp_id", "section_id_a").orderBy(F.desc("_sure"), F.col("_choice").asc_nulls_first()))
+    asked = asked.withColumn("_n", first).where("_n = 1").drop("_n").withColumn("_asked", F.lit(True))
+    rows = alignments.join(asked, ["cmp_id", "section_id_a"], "left")
+    rows = rows.withColumn("_split", F.col("_asked").isNotNull() & F.col("_choice").isNull() & (F.col("status") == "MATCHED"))
+    free = alignments.where("status = 'ADDED'").select("cmp_id", F.col("section_id_b").alias("_choice"), F.col("order_b").alias("_order"))
+    rows = rows.join(free, ["cmp_id", "_choice"], "left")
+    turn = F.row_number().over(Window.partitionBy("cmp_id", "_choice").orderBy(F.desc("_sure"), "al_no"))
+    wants = rows.where("_order is not null").select("cmp_id", "section_id_a", (turn == 1).alias("_moved"))
+    rows = cut(rows.join(wants, ["cmp_id", "section_id_a"], "left").withColumn("_moved", F.coalesce("_moved", F.lit(False))))
+    gone = rows.where("_moved").select("cmp_id", F.col("_choice").alias("section_id_b"))
+    orphans = rows.where("(_split or _moved) and section_id_b is not null").select("cmp_id", "section_id_b", "order_b")
+    orphans = orphans.select("cmp_id", F.lit("ADDED").alias("status"), F.lit(None).cast("string").alias("section_id_a"), "section_id_b", F.lit(None).cast("int").alias("order_a"), "order_b", F.lit(1.0).alias("confidence"), F.lit(None).cast(alignments.schema["signals"].dataType).alias("signals"))
+    kept = rows.withColumn("status", F.when(F.col("_split"), "REMOVED").when(F.col("_moved"), "MATCHED").otherwise(F.col("status")))
+    kept = kept.withColumn("confidence", F.when(F.col("_moved"), F.greatest("confidence", "_sure")).otherwise(F.col("confidence")))
+    for c, new in (("section_id_b", "_choice"), ("order_b", "_order")):
+        kept = kept.withColumn(c, F.when(F.col("_moved"), F.col(new)).when(~F.col("_split"), F.col(c)))
+    stays = kept.where("status != 'ADDED'").unionByName(kept.where("status = 'ADDED'").join(gone, ["cmp_id", "section_id_b"], "left_anti"))
     order = Window.partitionBy("cmp_id").orderBy(F.coalesce("order_a", "order_b"), F.col("order_a").isNull())
-    return kept.unionByName(orphan).drop("_split").withColumn("al_no", F.row_number().over(order)).select(*alignments.columns)
+    return stays.select(orphans.columns).unionByName(orphans).withColumn("al_no", F.row_number().over(order)).select(*alignments.columns)

@@ -31,12 +31,13 @@ class Comparison:
 
 
 def compare(
-    pairs: DataFrame, blocks: DataFrame, *, day_first: bool = True, unicode: bool = True, semantic: DataFrame | None = None, choices: DataFrame | None = None,
+    pairs: DataFrame, blocks: DataFrame, *, day_first: bool = True, unicode: bool = True, semantic: DataFrame | None = None, choices: DataFrame | None = None, arbitration: str = "split", mode: str = "best",
 ) -> Comparison:
     """All changes between the documents of each pair.
 
     ``pairs``: cmp_id, doc_a, doc_b. ``blocks``: as ``plain.blocks`` gives them, by doc_id. A document in
-    several pairs is segmented and read once. ``semantic`` and ``choices`` are a model's optional answers.
+    several pairs is segmented and read once. ``semantic`` and ``choices`` are a model's optional answers, and
+    ``arbitration`` says what the choices may do (``align.arbitrated``). Mode ``greedy`` pairs sections by the best score first.
     """
     placed, sections = sections_of(cut(blocks), unicode)
     placed, sections = cut(placed), cut(sections)
@@ -44,9 +45,9 @@ def compare(
     sides = pairs.select("cmp_id", F.explode(F.array(F.struct(F.lit("A").alias("side"), F.col("doc_a").alias("doc_id")), F.struct(F.lit("B").alias("side"), F.col("doc_b").alias("doc_id")))).alias("s")).select("cmp_id", "s.*")
     own = lambda df: sides.join(df, "doc_id").drop("doc_id")
     blocks, sections, entities = own(placed), own(sections), own(found)
-    alignments = cut(align.align_sections(sections, blocks, entities))
+    alignments = cut(align.align_sections(sections, blocks, entities, mode))
     if choices is not None:
-        alignments = cut(align.arbitrated(alignments, choices))
+        alignments = cut(align.arbitrated(alignments, choices, arbitration))
     aligned = cut(align.align_blocks(blocks, alignments))
     changes = cut(reconcile.changes(blocks, sections, entities, alignments, aligned, semantic))
     return Comparison(pairs, blocks, sections, entities, alignments, aligned, changes)
