@@ -4,7 +4,7 @@ Both tokenizers cut a text at a single blank between two other characters, and n
 a place, so a text is the row of its blank-separated pieces. New pieces are encoded in one call and aligned
 together in numpy: token lengths add up to ends, ends that both have are the common cuts, a search in the
 cuts labels each token's group, and links are expanded by repeating each token as often as tokens of the
-other side overlap it. A worker keeps what it knows of a piece; a document is then a row of piece codes.
+other side overlap it. A worker keeps what it knows of a piece, the common ones longest; a document is then a row of piece codes.
 
 Documents are written with their distinct pairs in blocks of a bounded size. A block has each of its pairs
 once; those are counted in two stages, by a salted pair and by pair, joined with the counts, and go back to
@@ -33,7 +33,10 @@ BLOCK_BYTES = 1 << 22
 SALTS = 16
 #: A blank that may part pieces. Python's white space has all characters that the vocabularies' patterns count as such.
 _cut = re.compile(r"(?<=\S) (?=\S)")
-_CACHE_PIECES = 200_000
+#: Not a plain word: white space, or the sign that the pieces have for a blank.
+_odd = re.compile(r"[\s▁]")
+_AT_ONCE = 2000
+_CACHE_PIECES = 300_000
 _CACHE_LINKS = 4_000_000
 _SPAN = 1 << 18
 
@@ -82,48 +85,99 @@ class Aligner:
         names = [self._b.id_to_piece(i) for i in range(len(self._b))]
         self._bytes_b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self._len_a, self._len_b = (np.array([len(x) for x in table], np.int64) for table in (self._bytes_a, self._bytes_b))
+        self._blank_a, self._blank_b = (np.array([x[:1] == b" " for x in table]) for table in (self._bytes_a, self._bytes_b))
         #: Only if no piece goes on after a letter with a blank do pieces of a text not touch each other.
         self.parted = not any(re.search("[^▁]▁", p) for i, p in enumerate(names) if not (self._b.is_control(i) or self._b.is_unknown(i)))
-        self._forget()
-
-    def _forget(self) -> None:
         self._code: dict[str, int] = {}
         self._groups: list[str] = []
-        self._shape: list[tuple[int, int, int, int]] = []  # ids of A and B, groups, links; all -1 where bytes differ
-        self._links: list[np.ndarray] = []
-        self._n_links = 0
+        #: For each code: ids of A and B, groups, links (all -1 where bytes differ), where its stretch of all pairs begins, and
+        #: how many texts had it since the last clearing. Both tables grow ahead of what they hold.
+        self._table, self._pairs, self._n_pairs = np.zeros((1 << 12, 6), np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _clear(self) -> None:
+        """Forgets pieces that fewer than two texts had lately, and the rarest ones if half would not go."""
+        n = len(self._groups)
+        hits, half = self._table[:n, 5], _CACHE_PIECES // 2
+        least = max(2, int(np.partition(hits, n - half)[n - half]) + 1) if n > half else 2
+        keep = hits >= least
+        if self._table[:n, 3][keep].clip(0).sum() > _CACHE_LINKS // 2:
+            keep[:] = False
+        old = np.flatnonzero(keep)
+        place = np.full(n, -1)
+        place[old] = np.arange(len(old))
+        place = place.tolist()
+        self._code = {p: place[c] for p, c in self._code.items() if place[c] >= 0}
+        self._groups = [self._groups[c] for c in old.tolist()]
+        size = self._table[old, 3].clip(0)
+        self._pairs = self._pairs[expand(self._table[old, 4], size)[1]]
+        self._n_pairs = len(self._pairs)
+        self._table = self._table[old]
+        self._table[:, 4], self._table[:, 5] = np.cumsum(size) - size, 0
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes pieces and aligns them in one row of bytes; each piece's end is a cut of both."""
-        ids_a = [e.ids for e in self._a.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)]
-        ids_b = self._b.encode(new, num_threads=1)
-        bytes_a, bytes_b = self._bytes_a, self._bytes_b
-        good = [b"".join([bytes_a[i] for i in a]) == b"".join([bytes_b[i] for i in b]) == b" " + p.encode() for p, a, b in zip(new, ids_a, ids_b)]
-        for p, fine, a, b in zip(new, good, ids_a, ids_b):
-            self._code[p] = len(self._groups)
-            self._groups.append("")
-            self._shape.append((len(a), len(b), 0, 0) if fine else (-1, -1, -1, -1))
-            self._links.append(np.empty(0, np.int64))
-        known = [self._code[p] for p, fine in zip(new, good) if fine]
-        if not known:
-            return
-        rows = [(a, b) for a, b, fine in zip(ids_a, ids_b, good) if fine]
-        a, b = (np.fromiter((i for r in rows for i in r[k]), np.int64) for k in (0, 1))
-        n_a = np.array([len(r[0]) for r in rows])
-        cuts, group_a, group_b, at_a, at_b = overlaps(self._len_a[a], self._len_b[b])
-        pair = a[at_a] << 32 | b[at_b]
-        upto_a = np.cumsum(n_a)
-        upto = np.searchsorted(at_a, upto_a)  # links are in order of A
-        ends = group_a[upto_a - 1] + 1  # groups up to each piece's end
-        texts_a, texts_b = _joined(a, group_a, len(cuts)), _joined(b, group_b, len(cuts))
-        begin = group = 0
-        for code, end, last in zip(known, upto.tolist(), ends.tolist()):
-            n_ids = self._shape[code][:2]
-            self._shape[code] = (*n_ids, last - group, end - begin)
-            self._groups[code] = ";".join(f"{x}|{y}" for x, y in zip(texts_a[group:last], texts_b[group:last]))
-            self._links[code] = pair[begin:end].copy()  # else it would hold all of them
-            begin, group = end, last
-        self._n_links += len(pair)
+        """Encodes pieces and aligns them. Plain words are encoded many at once, as one text of each vocabulary."""
+        plain = [p for p in new if p and not _odd.search(p)]
+        odd = [p for p in new if not p or _odd.search(p)]
+        for a in range(0, len(plain), _AT_ONCE):
+            self._store(plain[a : a + _AT_ONCE], *(self._together(plain[a : a + _AT_ONCE]) or self._apart(plain[a : a + _AT_ONCE])))
+        for a in range(0, len(odd), _AT_ONCE):
+            self._store(odd[a : a + _AT_ONCE], *self._apart(odd[a : a + _AT_ONCE]))
+
+    def _together(self, words: list[str]):
+        """Ids of A, how many each word has, and the same of B; None unless a blank begins each word and no other token."""
+        text = " ".join(words)
+        data, sides = f" {text}".encode(), []
+        for ids, table, blank in ((self._a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self._bytes_a, self._blank_a), (self._b.encode(text, num_threads=1), self._bytes_b, self._blank_b)):
+            if b"".join([table[i] for i in ids]) != data:
+                return None
+            ids = np.array(ids, np.int64)
+            starts = np.flatnonzero(blank[ids])
+            if len(starts) != len(words):
+                return None
+            sides += [ids, np.diff(np.append(starts, len(ids)))]
+        return *sides, np.ones(len(words), bool)
+
+    def _apart(self, pieces: list[str]):
+        """The same by a call for each piece, without the ids of pieces whose bytes don't come back."""
+        ids_a = [e.ids for e in self._a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)]
+        ids_b = self._b.encode(pieces, num_threads=1)
+        whole = lambda ids, table: b"".join([table[i] for i in ids])
+        fine = np.array([whole(a, self._bytes_a) == whole(b, self._bytes_b) == b" " + p.encode() for p, a, b in zip(pieces, ids_a, ids_b)])
+        sides = []
+        for ids in (ids_a, ids_b):
+            good = [x for x, ok in zip(ids, fine) if ok]
+            sides += [np.array([i for x in good for i in x], np.int64), np.array([len(x) for x in good], np.int64)]
+        return *sides, fine
+
+    def _store(self, pieces: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, fine: np.ndarray) -> None:
+        """Aligns pieces in one row of bytes, in which each piece's end is a cut of both, and keeps what comes out."""
+        rows, groups = np.zeros((len(pieces), 6), np.int64), [""] * len(pieces)
+        rows[:, :4] = -1
+        if fine.any():
+            cuts, group_a, group_b, at_a, at_b = overlaps(self._len_a[a], self._len_b[b])
+            upto = np.cumsum(n_a)
+            ends = group_a[upto - 1] + 1  # groups up to each piece's end
+            links = np.searchsorted(at_a, upto)  # links are in order of A
+            begin = self._n_pairs + np.concatenate([[0], links[:-1]])
+            rows[fine, :5] = np.stack([n_a, n_b, np.diff(ends, prepend=0), np.diff(links, prepend=0), begin], axis=1)
+            self._pairs = _appended(self._pairs, self._n_pairs, a[at_a] << 32 | b[at_b])
+            self._n_pairs += len(at_a)
+            texts = [f"{x}|{y}" for x, y in zip(_joined(a, group_a, len(cuts)), _joined(b, group_b, len(cuts)))]
+            begin = 0
+            for k, end in zip(np.flatnonzero(fine).tolist(), ends.tolist()):
+                groups[k] = texts[begin] if end - begin == 1 else ";".join(texts[begin:end])
+                begin = end
+        self._code.update(zip(pieces, range(len(self._groups), len(self._groups) + len(pieces))))
+        self._table = _appended(self._table, len(self._groups), rows)
+        self._groups += groups
+
+    def _know(self, spans: Iterable[list[str]]) -> None:
+        """Makes all pieces of these stretches known at the same time."""
+        if len(self._groups) > _CACHE_PIECES or self._n_pairs > _CACHE_LINKS:
+            self._clear()
+        known = self._code
+        if new := [p for p in dict.fromkeys(p for span in spans for p in span) if p not in known]:
+            self._learn(new)
 
     def _spans(self, text: str) -> Iterator[list[str]]:
         """The pieces of ``text``, a bounded stretch at a time."""
@@ -136,32 +190,50 @@ class Aligner:
                 return
             at = m.end()
 
-    def __call__(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """n_a, n_b, n_groups, n_links, groups_sha256, and the distinct pairs (a << 32 | b) with their numbers of links."""
+    def several(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """Of each text: n_a, n_b, n_groups, n_links, groups_sha256, and its distinct pairs (a << 32 | b) with their numbers of links."""
+        short = [next(self._spans(t)) if t and len(t) <= 2 * _SPAN else None for t in texts]
+        self._know(span for span in short if span)
+        for k, (text, span) in enumerate(zip(texts, short)):
+            if span or not text:
+                yield self._sums([span] if span else [], False)
+            else:
+                yield self._sums(self._spans(text), True)
+                self._know(span for span in short[k + 1 :] if span)  # the long text may have displaced their pieces
+
+    def _sums(self, spans: Iterable[list[str]], know: bool) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         nothing = 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
-        if not text:
-            return nothing
         sums, sha, pairs, times = np.zeros(4, np.int64), hashlib.sha256(), [], []
-        for k, span in enumerate(self._spans(text)):
-            if len(self._groups) > _CACHE_PIECES or self._n_links > _CACHE_LINKS:
-                self._forget()
-            known = self._code
-            if new := [p for p in dict.fromkeys(span) if p not in known]:
-                self._learn(new)
-            codes = [known[p] for p in span]
+        for k, span in enumerate(spans):
+            if know:
+                self._know([span])
+            codes = list(map(self._code.__getitem__, span))
             met, n = np.unique(np.array(codes), return_counts=True)
-            met = met.tolist()
-            shapes = np.array([self._shape[c] for c in met])
+            self._table[met, 5] += 1
+            shapes = self._table[met, :4]
             if shapes[:, 0].min() < 0:
                 return nothing
-            sums += (shapes * n[:, None]).sum(axis=0)
-            groups = self._groups
-            sha.update((";" if k else "").encode() + ";".join([groups[c] for c in codes]).encode())
-            pairs.append(np.concatenate([self._links[c] for c in met]))
-            times.append(np.repeat(n, shapes[:, 3]))
+            sums += n @ shapes
+            sha.update((";" if k else "").encode() + ";".join(map(self._groups.__getitem__, codes)).encode())
+            row, at = expand(self._table[met, 4], shapes[:, 3])
+            pairs.append(self._pairs[at])
+            times.append(n[row])
+        if not pairs:
+            return nothing
         found, which = np.unique(np.concatenate(pairs), return_inverse=True)
         return *sums.tolist(), sha.hexdigest(), found, np.bincount(which, np.concatenate(times), len(found)).astype(np.int64)
 
+    def __call__(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        return next(self.several([text]))
+
+
+def _appended(table: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``table``, of which ``n`` rows are in use, with ``more`` behind these; it doubles where it is too small."""
+    if n + len(more) > len(table):
+        table = np.concatenate([table[:n], np.zeros((max(n, len(more), 1 << 12) + len(more), *table.shape[1:]), table.dtype)])
+    table[n : n + len(more)] = more
+    return table
+
 
 def _joined(ids: np.ndarray, group: np.ndarray, n: int) -> list[str]:
     """Each group's ids as text, parted by commas."""
@@ -196,12 +268,12 @@ def aligned(docs: DataFrame, *, byte_level: str | None = None, pieces: str | Non
             ids = batch.column(0)
             for a, b, texts in slices(batch.column(1), 1 << 20):
                 rows, blocks = [], []
-                for text in texts:
+                for text, row in zip(texts, of.several(texts)):
                     n = len(text or "")
                     if size and size + n > block_bytes:
                         block, size = block + 1, 0
                     size += n
-                    rows.append(of(text))
+                    rows.append(row)
                     blocks.append(block)
                 column = [pa.array([r[k] for r in rows], pa.string() if k == 4 else pa.int64()) for k in range(5)]
                 lists = [pa.ListArray.from_arrays(np.cumsum([0, *[len(r[k]) for r in rows]]).astype(np.int32), np.concatenate([r[k] for r in rows])) for k in (5, 6)]

@@ -159,8 +159,9 @@ def test_spans_of_a_long_text(plain, monkeypatch):
     monkeypatch.setattr(crosstoken, "_SPAN", 50)
     monkeypatch.setattr(crosstoken, "_CACHE_PIECES", 20)
     text = " ".join(f"word{k % 37} ä{k}" for k in range(300))
-    got = crosstoken.aligner()(text)
-    assert (*got[:5], {(p >> 32, p & 0xFFFFFFFF): n for p, n in zip(got[5].tolist(), got[6].tolist())}) == plain(text)
+    texts = ["word1 word2", text, "word1 other", None, text[:120], "", "word2"]
+    for t, got in zip(texts, crosstoken.aligner().several(texts)):
+        assert (*got[:5], {(p >> 32, p & 0xFFFFFFFF): n for p, n in zip(got[5].tolist(), got[6].tolist())}) == plain(t)
 
 
 def expected(plain, rows):
