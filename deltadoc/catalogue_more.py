@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from deltadoc.catalogue import EDITS, ORACLE_SQL, changes_of, compared, money, query, say, table
@@ -9,7 +10,7 @@ from deltadoc.functions import display, scoring
 from deltadoc.functions import text as T
 from deltadoc.operators import segment
 from deltadoc.plans import chain, compare, evaluate, review, semantic
-from deltadoc.sources import store
+from deltadoc.sources import layout, store
 
 #: The longest common subsequence of neighbouring names, a row of the table of lengths at each step.
 ORACLE_SQL["text_ratios"] = r"""
@@ -218,3 +219,26 @@ def amended_records(spark, sf_dir):
         "cmp_id", "ordinal", "change_id", "type", "category", "importance", F.col("importance_score").alias("score"), "direction", "section_a", "section_b", cited("citation_a").alias("cited_a"), cited("citation_b").alias("cited_b"),
         "delta.absolute", "delta.percentage", "delta.days", F.col("delta.strength_change").alias("strength"), "summary",
     )
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS i, 'P' || l_partkey AS part, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS price FROM lineitem),
+ b AS (SELECT DISTINCT k, unnest([{'o': 0, 't': 'heading', 'x': 'ORDER ' || k, 'r': NULL}, {'o': 1, 't': 'paragraph', 'x': 'the goods are listed below and belong to the order.', 'r': NULL}, {'o': 2, 't': 'table', 'x': 'Part | Unit price | Note', 'r': NULL}, {'o': 1000, 't': 'paragraph', 'x': 'all prices are final.', 'r': NULL}]) AS b FROM l
+  UNION ALL SELECT k, {'o': 2 + i, 't': 'table_row', 'x': part || ' | USD ' || price || ' | ' || CASE WHEN i % 2 = 1 THEN 'odd' ELSE '' END, 'r': lower(part)} FROM l)
+ SELECT CAST(k AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY k ORDER BY b.o) - 1 AS INT) AS block_index, b.t AS block_type, trim(b.x) AS text, b.r AS row_key FROM b""")
+def table_pages(spark, sf_dir):
+    """A page for each order with its lines in a table between two paragraphs, as words with positions."""
+    line = table(spark, sf_dir, "lineitem")
+    turn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
+    line = line.select(F.col("l_orderkey").cast("long").alias("doc_id"), turn.alias("i"), say("P", F.col("l_partkey")).alias("part"), F.floor("l_extendedprice").cast("string").alias("price"))
+    word = lambda x, y, text: F.struct(F.lit(x).cast("double").alias("x0"), F.lit(y).cast("double").alias("top"), (text if not isinstance(text, str) else F.lit(text)).alias("text"))
+    y = 90 + F.col("i") * 20
+    rows = line.select("doc_id", F.explode(F.array_compact(F.array(word(60, y, F.col("part")), word(200, y, "USD"), word(224, y, F.col("price")), F.when(F.col("i") % 2 == 1, word(330, y, "odd"))))).alias("w"))
+    orders = line.groupBy("doc_id").agg(F.max("i").alias("n"))
+    end = 90 + F.col("n") * 20
+    spread = lambda x, y, words: [word(x + 30 * k, y, w) for k, w in enumerate(words.split())]
+    fixed_words = [word(50, 10, "ORDER"), word(90, 10, F.col("doc_id").cast("string")), *spread(50, 30, "the goods are listed below"), *spread(50, 50, "and belong to the order."), word(60, 90, "Part"), word(200, 90, "Unit"), word(223, 90, "price"), word(330, 90, "Note"), *spread(50, end + 40, "all prices are final.")]
+    rows = rows.unionByName(orders.select("doc_id", F.explode(F.array(*fixed_words)).alias("w")))
+    words = rows.select("doc_id", F.lit(1).alias("page"), "w.*").withColumn("x1", F.col("x0") + 20).withColumn("bottom", F.col("top") + 12)
+    boxes = orders.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("table"), F.lit(55.0).alias("x0"), F.lit(85.0).alias("top"), F.lit(360.0).alias("x1"), (end + 15).cast("double").alias("bottom"))
+    blocks = layout.page_blocks(words, boxes)
+    return blocks.select("doc_id", F.col("block_index").cast("int").alias("block_index"), "block_type", F.trim("text").alias("text"), "row_key")
