@@ -1,6 +1,7 @@
 """Queries and operators against brute force: media, derivatives, url trees, mixes, search, clashing columns."""
 
 import base64
+import collections
 import hashlib
 import math
 import random
@@ -10,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from deltadoc.llm import langid, media, mixing, packing, permindex, quality, urltree, warc
@@ -109,87 +111,90 @@ def test_pairwise_loss_is_at_its_minimum():
 # the url tree
 
 
-def brute_tree(rows, labels, depth, support=5, share=0.01, smoothing=4.0, reject=0.6):
-    """rows: (page_id, host, path); labels: page_id to 0 or 1. Verdict and template of each page."""
-    shape_of, leaves = {}, {}
+def follows(segs):
+    """The cell of what follows a segment: a hash from the end on, modulo the cells of the sketch."""
+    h = 0
+    for s in reversed(segs):
+        h = xxhash.xxh64(h.to_bytes(8, "little"), seed=xxhash.xxh64(s.encode(), seed=42).intdigest()).intdigest()
+    return h % urltree.CELLS
+
+
+def brute_tree(rows, labels, support=5, share=0.01, smoothing=4.0, reject=0.6):
+    """rows: (page_id, host, path); labels: page_id to 0 or 1. Template and verdict of each page.
+
+    A host's pages are dealt out segment by segment. Of a node's pages, those with a segment of too few go on
+    together under the wildcard; a node of few pages has wildcards only.
+    """
+    segs = {}
+
+    def grow(pages, above):
+        level = len(above)
+        ended = [(i, p) for i, p in pages if len(p) == level]
+        for i, p in ended if len(pages) >= support else pages:
+            segs[i] = above + ("*",) * (len(p) - level)
+        if len(pages) >= support:
+            count = collections.Counter(p[level] for _, p in pages if len(p) > level)
+            children = {}
+            for i, p in pages:
+                if len(p) > level:
+                    n = count[p[level]]
+                    children.setdefault(p[level] if n >= support and n >= share * len(pages) else "*", []).append((i, p))
+            for seg, own in children.items():
+                grow(own, (*above, seg))
+
+    hosts = {}
     for i, host, path in rows:
-        parts = re.sub("[0-9]+", "<n>", re.sub(r"\A/", "", path)).split("/")
-        parts = parts[: depth - 1] + ["<tail>"] if len(parts) > depth else parts
-        shape_of[i] = host, tuple(parts)
-        leaf = leaves.setdefault(shape_of[i], [0, 0, 0])
-        for k, v in enumerate((1, labels.get(i) is not None, labels.get(i) or 0)):
-            leaf[k] += v
-    nodes, parents = {}, {}
-    for (host, parts), (n, _, _) in leaves.items():
-        for k in range(1, len(parts) + 1):
-            nodes[host, parts[:k]] = nodes.get((host, parts[:k]), 0) + n
-            parents[host, parts[: k - 1]] = parents.get((host, parts[: k - 1]), 0) + n
-
-    def name(host, parts, k):
-        n = nodes[host, parts[: k + 1]]
-        return parts[k] if "<" in parts[k] or n >= support and n >= share * parents[host, parts[:k]] else "*"
-
-    segs = {key: tuple(name(key[0], key[1], k) for k in range(len(key[1]))) for key in leaves}
-
-    def merge(level):
-        tree = {}
-        for key, s in segs.items():
-            if len(s) >= level:
-                cell = tree.setdefault((key[0], s[: level - 1]), {}).setdefault(s[level - 1], {}).setdefault(s[level:], [0, 0, 0])
-                for k, v in enumerate(leaves[key]):
-                    cell[k] += v
-        new = {}
-        for place, branches in tree.items():
-            total = {b: [sum(c[k] for c in cells.values()) for k in range(3)] for b, cells in branches.items()}
-            order = sorted(branches, key=lambda b: (total[b][0], b), reverse=True)
-
-            def alike(hi, lo):
-                (na, la, ba), (nb, lb, bb) = total[hi], total[lo]
-                if (la == 0) != (lb == 0):
-                    return False
-                if la:
-                    p = (ba + bb) / (la + lb)
-                    if abs(bb / lb - ba / la) > 2 * math.sqrt(p * (1 - p) * (1 / la + 1 / lb)):
-                        return False
-                chi = 0
-                kinds = set(branches[hi]) | set(branches[lo])
-                for c in kinds:
-                    a, b = branches[hi].get(c, [0])[0], branches[lo].get(c, [0])[0]
-                    chi += (math.sqrt(nb / na) * a - math.sqrt(na / nb) * b) ** 2 / (a + b)
-                free = len(kinds) - 1
-                return chi <= free + 2 * math.sqrt(2 * free) + 1e-12
-
-            taken = set()
-            for k, hi in enumerate(order):
-                if hi not in taken:
-                    for lo in order[k + 1 :]:
-                        if alike(hi, lo):
-                            if lo not in taken:
-                                new[place, lo] = hi
-                            taken.add(lo)
-        for key, s in segs.items():
-            if len(s) >= level and (to := new.get(((key[0], s[: level - 1]), s[level - 1]))) is not None:
-                segs[key] = s[: level - 1] + (to,) + s[level:]
-        return bool(new)
-
-    changed = True
-    while changed:
-        changed = False
-        for level in range(1, max(map(len, segs.values()))):
-            while merge(level):
-                changed = True
-    sums = {}
-    for key, s in segs.items():
-        cell = sums.setdefault((key[0], s), [0, 0])
-        cell[0] += leaves[key][1]
-        cell[1] += leaves[key][2]
+        hosts.setdefault(host, []).append((i, re.sub("[0-9]+", "<n>", path.removeprefix("/")).split("/")))
     out = {}
-    for i, key in shape_of.items():
-        labelled, bad = sums[key[0], segs[key]]
-        out[i] = "/" + "/".join(segs[key]), "block" if (bad + smoothing / 2) / (labelled + smoothing) > reject else "allow"
+    for host, pages in hosts.items():
+        grow(pages, ())
+        while new := next((x for level in range(max(len(segs[i]) for i, _ in pages)) if (x := merges([i for i, _ in pages], segs, labels, level))), None):
+            for i, to in new.items():
+                segs[i] = to
+        sums = collections.defaultdict(lambda: [0, 0])
+        for i, _ in pages:
+            if labels.get(i) is not None:
+                sums[segs[i]][0] += 1
+                sums[segs[i]][1] += labels[i]
+        for i, _ in pages:
+            n, bad = sums[segs[i]]
+            out[i] = "/" + "/".join(segs[i]), "block" if (bad + smoothing / 2) / (n + smoothing) > reject else "allow"
     return out
 
 
+def merges(ids, segs, labels, level):
+    """New segments of pages whose branch at ``level`` joins a larger one beside it."""
+    nodes = {}
+    for i in ids:
+        if len(segs[i]) > level:
+            nodes.setdefault(segs[i][:level], {}).setdefault(segs[i][level], []).append(i)
+    new = {}
+    for above, branches in nodes.items():
+        cells = {b: collections.Counter(follows(segs[i][level + 1 :]) for i in own) for b, own in branches.items()}
+        marks = {b: [labels[i] for i in own if labels.get(i) is not None] for b, own in branches.items()}
+
+        def alike(x, y):
+            m, n = marks[x], marks[y]
+            if bool(m) != bool(n):
+                return False
+            if m:
+                p = (sum(m) + sum(n)) / (len(m) + len(n))
+                if abs(sum(m) / len(m) - sum(n) / len(n)) > 2 * math.sqrt(p * (1 - p) * (1 / len(m) + 1 / len(n))) + 1e-12:
+                    return False
+            na, nb = len(branches[x]), len(branches[y])
+            kinds = cells[x].keys() | cells[y].keys()
+            chi = sum((math.sqrt(nb / na) * cells[x][c] - math.sqrt(na / nb) * cells[y][c]) ** 2 / (cells[x][c] + cells[y][c]) for c in kinds)
+            return chi <= len(kinds) - 1 + 2 * math.sqrt(2 * (len(kinds) - 1)) + 1e-9
+
+        left = sorted(branches, key=lambda b: (len(branches[b]), b))
+        while left:
+            hi = left.pop()
+            for lo in [b for b in left if alike(hi, b)]:
+                left.remove(lo)
+                new |= {i: (*above, hi, *segs[i][level + 1 :]) for i in branches[lo]}
+    return new
+
+
 def test_tree_equals_brute_force(spark, sf_dir):
     rng = random.Random(6)
     urls = []
@@ -202,22 +207,28 @@ def test_tree_equals_brute_force(spark, sf_dir):
     table = spark.createDataFrame([(i, int(v)) for i, v in labels.items()], "page_id long, bad int")
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in urls], "page_id long, url string, host string, purity int")
     rows = [(i, u.split("/")[2], "/" + u.split("/", 3)[3]) for i, u in urls]
-    for depth in (urltree.WHOLE,):
-        got = {r.page_id: (r.template, r.verdict) for r in urltree.judge(pages, rules=(), labels=table, depth=depth).collect()}
-        assert got == brute_tree(rows, labels, depth)
+    got = {r.page_id: (r.template, r.verdict) for r in urltree.judge(pages, rules=(), labels=table).collect()}
+    assert got == brute_tree(rows, labels)
     assert {v for _, v in got.values()} == {"allow", "block"}
 
 
 def test_url_query_equals_brute_force(spark, sf_dir):
     got = QUERIES["op7_urltree"](spark, sf_dir).collect()
     rules = {r.page_id: r.rule and ("block" if dict(urltree.RULES)[r.rule] == "block" else "allow") for r in got}
-    want = brute_tree([(r.page_id, r.host, r.path) for r in got], {i: int(v == "block") for i, v in rules.items() if v}, urltree.WHOLE)
+    want = brute_tree([(r.page_id, r.host, r.path) for r in got], {i: int(v == "block") for i, v in rules.items() if v})
     assert all((r.template, r.verdict) == (want[r.page_id][0], rules[r.page_id] or want[r.page_id][1]) for r in got)
 
 
+def test_slugs_are_one_template(spark):
+    """Segments with digits are generalised like any other, and what follows the wildcard is a branch of its own."""
+    urls = [(k, f"http://h.com/{k}-{'abcdefghij'[k % 10] * (k // 10 % 50 + 1)}{'klmnopqr'[k % 8] * (k // 500 + 1)}-title{'' if k % 2 else '/comments'}") for k in range(4000)]
+    got = {r.page_id: r.template for r in urltree.judge(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    assert len(got) == 4000 and {got[k] for k in range(1, 4000, 2)} == {"/*"} and {got[k] for k in range(0, 4000, 2)} == {"/*/comments"}
+
+
 def test_repeated_pages_and_long_paths(spark):
     pages = [(1, "http://h/a"), (1, "http://h/b"), (None, "http://h/a"), (2, "http://h/" + "s/" * 600), (3, "http://h/" + "z" * 100_000)]
-    rows = urltree.judge(spark.createDataFrame(pages, "page_id long, url string"), depth=urltree.WHOLE).collect()
+    rows = urltree.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()
     assert len(rows) == len(pages) and all(r.verdict == "allow" for r in rows)
 
 

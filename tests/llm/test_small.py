@@ -264,7 +264,7 @@ def test_urls(spark):
     assert (rows[1].host, rows[1].path, rows[1].rule) == ("x.net", "", None)
     assert (rows[2].host, rows[2].path, rows[3].host, rows[3].path) == ("", "", "", "")
     assert [rows[k].rule for k in (4, 5, 6, 7, 8)] == ["example.com/de/", None, "org/fr/", None, "net/"]
-    assert len(rows) == len(urls) and rows[9].template == "/*/*/*/<tail>"
+    assert len(rows) == len(urls) and rows[9].template == "/*/*/*/*/*/*"
 
 
 def test_impure_templates_are_rejected(spark):
