@@ -356,7 +356,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, k: int = K, rows
     class_key its number, which is null for a text without words.
     """
     its_text = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_text")
-    signed = written(signatures(docs.select("*", its_text), k=k, rows=rows, weights=weights, keep=(*keep, "_text")))
+    signed = written(signatures(docs.select("doc_id", "text", *keep, its_text), k=k, rows=rows, weights=weights, keep=(*keep, "_text")))
     worded = signed.where("words_key is not null")
     one = F.min_by(F.struct("doc_id", "_text", "bands", "sig"), F.struct(F.col("doc_id").isNull(), "doc_id", "_text"))
     exact = worded.groupBy("words_key").agg(F.min("doc_id").alias("exact_id"), one.alias("s"), F.count("*").alias("n"))
@@ -372,7 +372,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, k: int = K, rows
     rays = written(spread_join(members.drop("n"), stars, "bucket", size).where("a != key").select("a", F.col("key").alias("b")).distinct())
     near = rays if margin is None else written(_similar(rays, sigs, similarity - margin))
     some = exact.select("key", F.col("s.doc_id").alias("_id"), F.col("s._text").alias("_its")).join(members.select("key").distinct(), "key", "left_semi").hint("merge")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", its_text)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", its_text)  # other columns may have any names
     sets = written(sets_of(texts.join(some, texts.doc_id.eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_its"))), weights))
     links = written(checked(near, sets, similarity))
     first = components(links)

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
+#: A body that unpacks to more is an error.
+MOST_BYTES = 1 << 28
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "warc-derivatives")
 
 _opening = re.compile(r"<(?:!--|(script|style|noscript|template|head)\b)", re.I)
@@ -115,6 +117,81 @@ def http_parts(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
     return int(status[1]), headers, body
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body in chunks put together; raises ValueError where they are damaged. Trailers are left out."""
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.match(rb"\s*([0-9A-Fa-f]{1,15})\s*(?:;|$)", body[at:end]) if end >= 0 else None
+        if size is None:
+            raise ValueError("damaged chunks")
+        n, begin = int(size[1], 16), end + 2
+        if n == 0:
+            return b"".join(parts)
+        if begin + n > len(body):
+            raise ValueError("damaged chunks")
+        parts.append(body[begin : begin + n])
+        at = begin + n
+        if body[at : at + 2] != b"\r\n":
+            raise ValueError("damaged chunks")
+        at += 2
+
+
+def inflated(body: bytes, bits: int) -> bytes:
+    """All members of a gzip (bits 31), zlib (15) or bare deflate (-15) stream; ValueError if damaged, cut off or too large."""
+    parts, size = [], 0
+    while body:
+        d = zlib.decompressobj(bits)
+        try:
+            parts.append(d.decompress(body, MOST_BYTES - size + 1))
+        except zlib.error as e:
+            raise ValueError(f"damaged body: {e}") from e
+        size += len(parts[-1])
+        if size > MOST_BYTES:
+            raise ValueError("body too large")
+        if not d.eof:
+            raise ValueError("damaged body: it ends early")
+        body = d.unused_data if bits == 31 else b""
+    return b"".join(parts)
+
+
+def decoded(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """The body without its transfer and content encodings, the last one first; ValueError for damaged or unknown ones.
+
+    A body that says ``chunked`` but has no chunk line was stored without it, and stays as it is.
+    """
+    codings = lambda name: [c for n, v in headers if n.lower() == name for c in re.split(r"[,\s]+", v.lower()) if c]
+    for coding in [*codings("content-encoding"), *codings("transfer-encoding")][::-1]:
+        if coding == "chunked":
+            body = unchunked(body) if re.match(rb"\s*[0-9A-Fa-f]+\s*(?:;[^\r\n]*)?\r\n", body) else body
+        elif coding in ("gzip", "x-gzip"):
+            body = inflated(body, 31)
+        elif coding == "deflate":
+            try:
+                body = inflated(body, 15)
+            except ValueError:
+                body = inflated(body, -15)
+        elif coding != "identity":
+            raise ValueError(f"unknown encoding: {coding}")
+    return body
+
+
+def payload_holds(source: Record) -> bool | None:
+    """Whether the response's payload digest is that of its body, with or without chunks; None without a SHA-1 digest."""
+    said = source.get("WARC-Payload-Digest")
+    if not said or not said.lower().startswith("sha1:"):
+        return None
+    _, headers, body = http_parts(source.block)
+    forms = [body]
+    if any(n.lower() == "transfer-encoding" and "chunked" in v.lower() for n, v in headers):
+        try:
+            forms.append(unchunked(body))
+        except ValueError:
+            pass
+    value = said[5:].strip().upper()
+    return any(value in (digest(x)[5:], hashlib.sha1(x).hexdigest().upper()) for x in forms)
+
+
 def response(uri: str | None, page: str | None, date: str = DATE) -> Record:
     """A response record for a fetched page; a null URI or page is empty."""
     body = (page or "").encode("utf-8", "surrogatepass")
@@ -180,9 +257,17 @@ def links_of(page: str) -> list[str]:
     return found
 
 
-def derive(source: Record, date: str | None = None) -> tuple[Record, Record]:
-    """The metadata and the conversion record of a response record."""
-    status, headers, body = http_parts(source.block)
+def derive(source: Record, date: str | None = None) -> tuple[Record, Record | None, str | None]:
+    """The metadata and the conversion record of a response record, and why there is no conversion.
+
+    A body is unpacked by its encodings; where that fails there is no text, title or link. A payload digest
+    that isn't the body's is kept with the one that is beside it.
+    """
+    status, headers, raw = http_parts(source.block)
+    try:
+        body, error = decoded(headers, raw), None
+    except ValueError as e:
+        body, error = b"", str(e)
     its_id, uri, when = source.get("WARC-Record-ID", ""), source.get("WARC-Target-URI", ""), source.get("WARC-Date", DATE)
     kind = next((v for n, v in headers if n.lower() == "content-type"), "")
     charset = (_charset.search(kind) or _charset.search(body[:1024].decode("latin-1")) or ["", "utf-8"])[1]
@@ -190,24 +275,26 @@ def derive(source: Record, date: str | None = None) -> tuple[Record, Record]:
         page = body.decode(charset, "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
-    payload = source.get("WARC-Payload-Digest") or digest(body)
+    payload = source.get("WARC-Payload-Digest") or digest(raw)
     meta_id, text_id = record_id("metadata", its_id), record_id("conversion", its_id)
     title = title_of(page)
     links = dict.fromkeys(html.unescape(x).strip() for x in links_of(page))
     one = lambda s: re.sub(r"\s+", " ", s).strip()
     fields = [("source-record-id", its_id), ("source-payload-digest", payload)]
     fields += [("source-block-digest", source.get("WARC-Block-Digest") or digest(source.block))]
+    fields += [("computed-payload-digest", digest(raw))] if payload_holds(source) is False else []
     fields += [("http-status", str(status))] if status is not None else []
     fields += [(f"http-header-{n.lower()}", v) for n, v in headers]
+    fields += [("conversion-error", error)] if error else []
     fields += [("charset", charset)] + ([("title", one(html.unescape(title)))] if title is not None else [])
     fields += [("outlink", one(x)) for x in links if x]
     meta_block = "".join(f"{n}: {v}\r\n" for n, v in fields).encode("utf-8", "surrogatepass")
     text = plain_text(page).encode("utf-8", "surrogatepass")
     shared = [("WARC-Date", date or when), ("WARC-Target-URI", uri), ("WARC-Refers-To", its_id), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", when)]
-    return (
-        Record([("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), *shared, ("WARC-Concurrent-To", text_id), ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", digest(meta_block))], meta_block),
-        Record([("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), *shared, ("WARC-Concurrent-To", meta_id), ("Content-Type", "text/plain; charset=utf-8"), ("WARC-Block-Digest", digest(text))], text),
-    )
+    beside = lambda other: [] if error else [("WARC-Concurrent-To", other)]
+    meta = Record([("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), *shared, *beside(text_id), ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", digest(meta_block))], meta_block)
+    made = Record([("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), *shared, *beside(meta_id), ("Content-Type", "text/plain; charset=utf-8"), ("WARC-Block-Digest", digest(text))], text)
+    return meta, None if error else made, error
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -227,32 +314,38 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, record binary")
 
 
-DERIVED = "page_id long, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, source_payload_digest string, block_digest string, block binary, record binary, error string"
+DERIVED = "page_id long, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, source_payload_digest string, block_digest string, block binary, record binary, payload_holds boolean, error string"
 
 
 def derivatives(records: DataFrame, level: int = 1) -> DataFrame:
     """Two rows for each response among ``records`` (page_id, record): its metadata and its conversion.
 
-    ``record`` is the derivative as a gzip member. Null, damaged and other records give one row with ``error``.
+    ``record`` is the derivative as a gzip member. Null, damaged and other records give one row with ``error``, and
+    a response whose body can't be unpacked has one with ``error`` in place of its conversion. ``payload_holds`` says
+    whether the response's payload digest is right, null without one.
     Ids follow from the response's, so equal responses have equal derivatives, a pair for each row.
     """
     names = [x.split()[0] for x in DERIVED.split(", ")]
-    kinds = [{"long": pa.int64(), "binary": pa.binary()}.get(x.split()[1], pa.string()) for x in DERIVED.split(", ")]
+    kinds = [{"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}.get(x.split()[1], pa.string()) for x in DERIVED.split(", ")]
 
     def rows(page_id, data):
         try:
             found = list(read_records(data)) if data is not None else []
         except ValueError as e:
-            yield (page_id, *[None] * 9, str(e))
+            yield (page_id, *[None] * 10, str(e))
             return
         for source in found:
             if source.get("WARC-Type") == "response":
-                for r in derive(source):
-                    payload = source.get("WARC-Payload-Digest") or digest(http_parts(source.block)[2])
+                *made, error = derive(source)
+                payload, holds = source.get("WARC-Payload-Digest") or digest(http_parts(source.block)[2]), payload_holds(source)
+                for r in made:
+                    if r is None:
+                        yield (page_id, "conversion", None, source.get("WARC-Record-ID"), None, source.get("WARC-Target-URI"), payload, None, None, None, holds, error)
+                        continue
                     get = [r.get(n) for n in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Concurrent-To", "WARC-Target-URI")]
-                    yield (page_id, *get, payload, r.get("WARC-Block-Digest"), r.block, r.compressed(level), None)
+                    yield (page_id, *get, payload, r.get("WARC-Block-Digest"), r.block, r.compressed(level), holds, None)
         if not any(r.get("WARC-Type") == "response" for r in found):
-            yield (page_id, *[None] * 9, "no response record")
+            yield (page_id, *[None] * 10, "no response record")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

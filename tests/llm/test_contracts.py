@@ -69,7 +69,7 @@ def test_long_pages_take_linear_time(bit):
     page = bit * (1_000_000 // len(bit))
     began = time.process_time()
     made = warc.derive(next(warc.read_records(bytes(warc.response("u", page)))))
-    assert time.process_time() - began < 6 and len(made) == 2
+    assert time.process_time() - began < 6 and made[1] is not None
 
 
 def test_letters():

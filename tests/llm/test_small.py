@@ -138,7 +138,7 @@ def test_media_columns(odd, none, spark):
 def test_warc_records_are_linked():
     page = "<html><head><title>A &amp; B</title><style>p{}</style></head><body><p>One</p><p>Two <b>three</b></p><a href='/x'>L</a><script>no</script></body></html>"
     source = warc.response("http://h/p", page)
-    meta, text = warc.derive(next(warc.read_records(bytes(source))))
+    meta, text, _ = warc.derive(next(warc.read_records(bytes(source))))
     its = source.get("WARC-Record-ID")
     assert meta.get("WARC-Refers-To") == text.get("WARC-Refers-To") == its and meta.get("WARC-Concurrent-To") == text.get("WARC-Record-ID")
     assert text.block.decode().split("\n") == ["One", "Two three", "L"]
