@@ -11,11 +11,11 @@ from deltadoc.functions import text as T
 def consecutive(versions: DataFrame) -> DataFrame:
     """Pairs of consecutive versions (chain_id, version, doc_id): cmp_id, step, doc_a and doc_b.
 
-    A version whose ``sha256`` (where given) equals the one before it is left out first.
+    A version whose ``sha256`` (where given) equals the one before it is left out first; a null is unlike any other.
     """
     order = Window.partitionBy("chain_id").orderBy("version")
     if "sha256" in versions.columns:
-        versions = versions.withColumn("_before", F.lag("sha256").over(order)).where("_before is null or _before != sha256").drop("_before")
+        versions = versions.withColumn("_before", F.lag("sha256").over(order)).where("_before is null or sha256 is null or _before != sha256").drop("_before")
     rows = versions.withColumn("step", F.row_number().over(order) - 1).withColumn("doc_b", F.lead("doc_id").over(order))
     rows = rows.where("doc_b is not null")
     return rows.select("chain_id", F.concat_ws(":", F.col("chain_id").cast("string"), F.col("step").cast("string")).alias("cmp_id"), "step", F.col("doc_id").alias("doc_a"), "doc_b")
