@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltadoc.catalogue import EDITS, ORACLE_SQL, changes_of, compared, money, query, say, table
 from deltadoc.functions import display, scoring
 from deltadoc.functions import text as T
 from deltadoc.operators import segment
-from deltadoc.plans import chain, compare, evaluate, review, semantic
-from deltadoc.sources import layout, store
+from deltadoc.plans import chain, compare, evaluate, review, search, semantic
+from deltadoc.operators.cut import shared_folder
+from deltadoc.sources import layout, snapshots, store
 
 #: The longest common subsequence of neighbouring names, a row of the table of lengths at each step.
 ORACLE_SQL["text_ratios"] = r"""
@@ -242,3 +245,31 @@ def table_pages(spark, sf_dir):
     boxes = orders.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("table"), F.lit(55.0).alias("x0"), F.lit(85.0).alias("top"), F.lit(360.0).alias("x1"), (end + 15).cast("double").alias("bottom"))
     blocks = layout.page_blocks(words, boxes)
     return blocks.select("doc_id", F.col("block_index").cast("int").alias("block_index"), "block_type", F.trim("text").alias("text"), "row_key")
+
+
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+ t AS (SELECT unnest(['the th', 'Ent', 'ó', 'zq', '%%', 'is']) AS term) SELECT term, doc_id, CAST(line AS BIGINT) AS line FROM t JOIN l ON contains(lower(text), lower(term))""")
+def text_search(spark, sf_dir):
+    """Every line of every document in which one of six terms occurs, through the index of trigrams."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    path = shared_folder(spark)
+    search.write_index(docs.withColumn("hay", F.lower("text")), path)
+    found = [search.places(spark, path, t).select(F.lit(t).alias("term"), "doc_id", F.col("line").cast("long").alias("line")) for t in ("the th", "Ent", "ó", "zq", "%%", "is")]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""WITH e AS (SELECT user_id AS cmp_id, event_type AS status, ts, event_id, user_id % 3 = 0 AS gone FROM events),
+ r AS (SELECT cmp_id, count(*) AS notes, arg_max(status, (ts, event_id)) AS last FROM e GROUP BY cmp_id)
+ SELECT CAST(cmp_id AS BIGINT) AS cmp_id, last AS status, CAST(notes AS BIGINT) AS notes FROM r WHERE cmp_id % 3 <> 0""")
+def committed_reviews(spark, sf_dir):
+    """Reviews of all users' events in two commits, by half of the time, and a third one that deletes every third comparison."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("cmp_id"), F.lit("c").alias("change_id"), F.col("event_type").alias("status"), "ts", "event_id")
+    middle = events.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
+    store = snapshots.Store(spark, shared_folder(spark))
+    for part in (events.where(F.col("ts") < F.lit(middle)), events.where((F.col("ts") >= F.lit(middle)))):
+        last = part.groupBy("cmp_id", "change_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+        snapshots.review(store, last, part.select("cmp_id", "change_id", F.col("event_id").cast("string").alias("body")), part.select("cmp_id", F.lit("reviewed").alias("action")))
+    gone = events.where("cmp_id % 3 = 0").select("cmp_id").distinct()
+    now = snapshots.delete_comparisons(store, gone, gone.withColumn("action", F.lit("deleted")))
+    notes = now.read("notes").groupBy("cmp_id").agg(F.count("*").alias("notes"))
+    return now.read("reviews").join(notes, "cmp_id").select("cmp_id", "status", "notes")

@@ -3,8 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name in the folder of ``spark.checkpoint.dir``, which all executors share.
+
+    A local session without the setting gets a folder of its own.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="deltadoc-")
+    return f"{root.rstrip('/')}/deltadoc-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
