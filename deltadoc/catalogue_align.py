@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deltadoc import fixed
-from deltadoc.catalogue import EDITS, compared, query, say, table
+from deltadoc.catalogue import EDITS, compared, money, query, say, table
+from deltadoc.functions import similarity as S
 from deltadoc.functions import text as T
 from deltadoc.operators import align
 from deltadoc.operators.assign import assign
+from deltadoc.plans import evaluate
 from deltadoc.plans.compare import compare_texts
 
 #: The first ending of a word that has two letters or more before it is cut off.
@@ -90,3 +92,34 @@ def repaired_sections(spark, sf_dir):
     choices = asked.withColumn("confidence", F.lit(0.9)).unionByName(rivals.withColumn("confidence", F.lit(0.4)))
     rows = align.arbitrated(found, choices, "fixed")
     return rows.select("cmp_id", "al_no", "status", "section_id_a", "section_id_b")
+
+
+@query(f"""SELECT k AS cmp_id, n AS section, CAST(1.0 AS DOUBLE) AS heading, CASE WHEN edited THEN NULL ELSE 1.0 END::DOUBLE AS content, CASE WHEN n = 1 OR edited THEN 0.0 ELSE 1.0 END::DOUBLE AS entity,
+ round(CAST(1 - 2 * abs(n / 6 - n / (6 + CAST(more AS INT))) AS DOUBLE), 6) AS position, CASE WHEN n = 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS numbering,
+ CASE WHEN edited THEN NULL ELSE floor((0.3 + 0.3 + CASE WHEN n = 1 THEN 0.0 ELSE 0.15 END + 0.15 * (1 - 2 * abs(n / 6 - n / (6 + CAST(more AS INT)))) + CASE WHEN n = 1 THEN 0.0 ELSE 0.1 END) * 10000 + 0.5) / 10000 END::DOUBLE AS confidence
+ FROM (SELECT *, [false, price, pay, false, duty, share][n] AS edited FROM {EDITS}, (SELECT CAST(unnest(range(1, 7)) AS INT) AS n))""")
+def section_scores(spark, sf_dir):
+    """The five signals of each pair of sections, and their score where nothing was edited."""
+    k, n = F.col("cmp_id"), F.substring("section_id_a", 2, 9).cast("int")
+    edited = F.get(F.array(F.lit(False), k % 4 != 0, k % 3 == 0, F.lit(False), k % 7 == 0, k % 5 == 0), n - 1)
+    rows = compared(spark, sf_dir).alignments.where("status = 'MATCHED'")
+    return rows.select("cmp_id", n.alias("section"), "signals.heading", F.when(~edited, F.col("signals.content")).alias("content"), "signals.entity", F.round("signals.position", 6).alias("position"), "signals.numbering", F.when(~edited, F.col("confidence")).alias("confidence"))
+
+
+@query("""SELECT p_partkey, round(CAST(CASE p_size % 6 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 1.0 WHEN 4 THEN 1.0 ELSE 0.9 END AS DOUBLE), 6) AS heading FROM part""")
+def heading_scores(spark, sf_dir):
+    """Headings that are empty, equal, longer by some words, of other order or of one family."""
+    pick = lambda *w: F.get(F.array(*[F.lit(x) if isinstance(x, str) else x for x in w]), (F.col("p_size") % len(w)).cast("int"))
+    a = pick("", "", F.col("p_name"), "payment terms", "terms of payment", "governing law")
+    b = pick("", "x", F.col("p_name"), say("payment terms of ", F.col("p_name")), "payment of terms", "applicable law")
+    rows = table(spark, sf_dir, "part").select("p_partkey", a.alias("a"), b.alias("b"))
+    return rows.select("p_partkey", F.round(S.heading_similarity(F.col("a"), F.col("b")), 6).alias("heading"))
+
+
+@query(f"SELECT k AS cmp_id, CASE WHEN price AND pay THEN true END AS split, CASE WHEN price AND pay THEN CAST(1 AS INT) END AS ordinal FROM {EDITS}")
+def split_labels(spark, sf_dir):
+    """A label of each contract whose two markers are in two changes, if both are made: the old price and the new payment period."""
+    k = F.col("c_custkey")
+    marks = F.array(say("$", money(F.abs("c_acctbal") + 1000)), say(30 + k % 4 * 15, " days"))
+    labels = table(spark, sf_dir, "customer").select(k.alias("cmp_id"), F.lit("l").alias("label_id"), marks.alias("match"))
+    return evaluate.matched(labels, compared(spark, sf_dir).changes).select("cmp_id", "split", F.col("ordinal").cast("int").alias("ordinal"))
