@@ -105,6 +105,11 @@ def block_classes(blocks: DataFrame, scope: list[str]) -> DataFrame:
     return blocks.withColumn("_alone", alone).withColumn("rep", F.min("n").over(Window.partitionBy(*scope, "block_type", "normalized", "_alone"))).drop("_alone")
 
 
+def _both_classes(a: DataFrame, b: DataFrame, scope: list[str]) -> dict[str, DataFrame]:
+    both = cut(block_classes(a.withColumn("side", F.lit("A")).unionByName(b.withColumn("side", F.lit("B"))), [*scope, "side"]))
+    return {s: both.where(F.col("side") == s).drop("side") for s in "AB"}
+
+
 def block_pairs(a: DataFrame, b: DataFrame, weights: DataFrame, scope: list[str], threshold: float) -> DataFrame:
     """Scored pairs of blocks within a ``scope`` that can reach ``threshold``.
 
@@ -114,16 +119,17 @@ def block_pairs(a: DataFrame, b: DataFrame, weights: DataFrame, scope: list[str]
     ``block_classes`` gives the same ``rep`` are one here, with how many they are in ``room_a`` and ``room_b``.
     """
     share = (threshold - 1e-9 - fixed.W_LEXICAL) / fixed.W_TERMS
-    sides, posted = [], []
-    for df, end in ((a, "a"), (b, "b")):
-        reps = df.groupBy(*scope, "rep").agg(F.count("*").cast("int").alias(f"room_{end}"), *[F.first(c).alias(c) for c in ("block_type", "normalized", "row_key")], *([] if "cmp_id" in scope else [F.first("cmp_id").alias("cmp_id")])).withColumnRenamed("rep", "n")
-        terms = cut(_posted(reps, weights, scope))
-        posted.append(terms)
-        weighed = terms.groupBy(*scope, "n").agg(F.first("mass").alias(f"mass_{end}"), F.array_sort(F.collect_list(F.struct("term", "weight"))).alias(f"terms_{end}"))
-        rows = reps.join(weighed, [*scope, "n"]).withColumn("key", T.strip_list_marker(F.col("normalized")))
-        sizes = F.array(F.length("key"), F.length(S.sorted_words(F.col("key"))))
-        rows = rows.withColumn(f"sizes_{end}", F.transform(sizes, lambda x: F.least(x, F.lit(fixed.COMPARE_CHARS))))
-        sides.append(rows.select(*scope, f"room_{end}", f"mass_{end}", f"terms_{end}", f"sizes_{end}", *[F.col(c).alias(f"{c}_{end}") for c in ("n", "block_type", "normalized", "row_key", "key")]))
+    own = [*scope, "side"]
+    both = a.withColumn("side", F.lit("A")).unionByName(b.withColumn("side", F.lit("B")))
+    same = [F.first(c).alias(c) for c in ("block_type", "normalized", "row_key", *(() if "cmp_id" in scope else ("cmp_id",)))]
+    reps = both.groupBy(*own, "rep").agg(F.count("*").cast("int").alias("room"), *same).withColumnRenamed("rep", "n")
+    terms = cut(_posted(reps, weights, own))
+    posted = [terms.where(F.col("side") == s).drop("side") for s in "AB"]
+    weighed = terms.groupBy(*own, "n").agg(F.first("mass").alias("mass"), F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("terms"))
+    rows = reps.join(weighed, [*own, "n"]).withColumn("key", T.strip_list_marker(F.col("normalized")))
+    lengths = F.array(F.length("key"), F.length(S.sorted_words(F.col("key"))))
+    rows = rows.withColumn("sizes", F.transform(lengths, lambda x: F.least(x, F.lit(fixed.COMPARE_CHARS))))
+    sides = [rows.where(F.col("side") == s.upper()).select(*scope, *[F.col(c).alias(f"{c}_{s}") for c in ("n", "room", "mass", "terms", "sizes", "block_type", "normalized", "row_key", "key")]) for s in "ab"]
     met = candidate_pairs(*posted, scope, share).join(sides[0], [*scope, "n_a"]).join(sides[1], [*scope, "n_b"])
     met = met.where("block_type_a = block_type_b or (block_type_a != 'table_row' and block_type_b != 'table_row')")
     names = F.transform("terms_b", lambda t: t["term"])
@@ -177,7 +183,7 @@ def align_blocks(blocks: DataFrame, alignments: DataFrame) -> DataFrame:
     less = lambda df, done, end: df.join(done.select("cmp_id", F.col(f"n_{end}").alias("n")), ["cmp_id", "n"], "left_anti")
     rest_a, rest_b = less(a, same, "a"), less(b, same, "b")
     scope = ["cmp_id", "al_no"]
-    classes = {s: cut(block_classes(df.where("status = 'MATCHED'"), scope)) for s, df in (("A", rest_a), ("B", rest_b))}
+    classes = _both_classes(rest_a.where("status = 'MATCHED'"), rest_b.where("status = 'MATCHED'"), scope)
     texts = block_pairs(classes["A"], classes["B"], weights, scope, fixed.BLOCK_THRESHOLD)
     texts = texts.where("block_type_a != 'table_row' or row_key_a is null or row_key_b is null")
     texts = _scored(texts, "al_no")
@@ -188,7 +194,7 @@ def align_blocks(blocks: DataFrame, alignments: DataFrame) -> DataFrame:
     changed = cut(_members(assign(texts.unionByName(cut(rows)), scope, "n_a", "n_b", "score", fixed.BLOCK_THRESHOLD, room=("room_a", "room_b")), classes, scope))
     changed = changed.select("cmp_id", "al_no", F.lit("MODIFIED").alias("status"), "n_a", "n_b", T.half_up(F.col("score"), 4).alias("similarity"))
     left_a, left_b = less(rest_a, changed, "a"), less(rest_b, changed, "b")
-    classes = {s: cut(block_classes(df, ["cmp_id"])) for s, df in (("A", left_a), ("B", left_b))}
+    classes = _both_classes(left_a, left_b, ["cmp_id"])
     moves = block_pairs(classes["A"], classes["B"], weights, ["cmp_id"], fixed.MOVE_THRESHOLD).where("block_type_a = block_type_b")
     moved = assign(_scored(moves), ["cmp_id"], "n_a", "n_b", "score", fixed.MOVE_THRESHOLD, room=("room_a", "room_b"))
     moved = cut(_members(moved, classes, ["cmp_id"])).join(left_a.select("cmp_id", F.col("n").alias("n_a"), "al_no"), ["cmp_id", "n_a"])
