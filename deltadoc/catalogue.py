@@ -215,13 +215,12 @@ def block_types(spark, sf_dir):
     )
 
 
-@query("""SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(count(*) AS BIGINT) AS kept, CAST(0 AS BIGINT) AS runners FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) >= 3""")
+@query("""SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(count(*) * CASE WHEN count(DISTINCT l_linenumber) >= 3 THEN 1 ELSE 2 END AS BIGINT) AS kept, CAST(CASE WHEN count(DISTINCT l_linenumber) >= 3 THEN 0 ELSE count(*) END AS BIGINT) AS runners FROM lineitem GROUP BY l_orderkey""")
 def strip_runners(spark, sf_dir):
-    """Orders as documents with a page for each line number, each with the same header."""
+    """Orders as documents with a page for each line number, each with the same header, which stays where there are few pages."""
     items = table(spark, sf_dir, "lineitem")
-    big = items.groupBy("l_orderkey").agg(F.count_distinct("l_linenumber").alias("p")).where("p >= 3").select("l_orderkey")
     key = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"))
-    rows = items.join(big, "l_orderkey").withColumn("n", key)
+    rows = items.withColumn("n", key)
     parts = F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit("Order sheet of the supplier").alias("text")), F.struct(F.lit(1).alias("o"), say("Item ", F.col("n"), " part ", F.col("l_partkey"), " at ", F.col("l_extendedprice")).alias("text"))))
     lines = rows.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), "n", parts.alias("x")).select("doc_id", "page", (F.col("n") * 2 + F.col("x.o")).alias("block_index"), "x.text")
     left = plain.without_runners(plain.described(lines, unicode=False))
@@ -304,7 +303,7 @@ def line_layout(spark, sf_dir):
     row = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
     words = F.posexplode(F.split(F.concat(F.lit("it is the "), "p_name", F.lit(".")), " "))
     items = part.withColumn("row", row).select("p_size", "row", words).select(
-        F.lit(0).alias("doc_id"), F.col("p_size").alias("page"), F.col("col").alias("text"), (F.col("pos") * 40.0).alias("x0"), (F.col("row") * 12.0).alias("top"), (F.col("pos") * 40.0 + 30).alias("x1"), (F.col("row") * 12.0 + 9).alias("bottom"),
+        F.col("p_size").alias("doc_id"), F.col("p_size").alias("page"), F.col("col").alias("text"), (F.col("pos") * 40.0).alias("x0"), (F.col("row") * 12.0).alias("top"), (F.col("pos") * 40.0 + 30).alias("x1"), (F.col("row") * 12.0 + 9).alias("bottom"),
     )
     return layout.paragraphs(layout.lines(items)).groupBy("page").agg(F.count("*").alias("paragraphs"))
 

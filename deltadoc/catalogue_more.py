@@ -273,3 +273,11 @@ def committed_reviews(spark, sf_dir):
     now = snapshots.delete_comparisons(store, gone, gone.withColumn("action", F.lit("deleted")))
     notes = now.read("notes").groupBy("cmp_id").agg(F.count("*").alias("notes"))
     return now.read("reviews").join(notes, "cmp_id").select("cmp_id", "status", "notes")
+
+
+@query(r"""SELECT doc_id, substr(array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), ' '), 1, 500) AS excerpt FROM documents WHERE text IS NOT NULL AND text <> ''""")
+def document_excerpts(spark, sf_dir):
+    """The first 500 characters of every document's lines, most of which have more."""
+    docs = table(spark, sf_dir, "documents").where("text is not null and text != ''")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_index", "text")).where("text != ''")
+    return segment.excerpts(lines, ["doc_id"])
