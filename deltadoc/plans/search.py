@@ -48,23 +48,27 @@ def write_index(rows: DataFrame, path: str) -> None:
     numbered.withColumn("part", F.expr(f"row div {PART_ROWS}")).write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/rows")
     stored = spark.read.parquet(f"{path}/rows")
     grams = stored.select("row", F.explode(trigrams(F.concat("hay", F.lit(2 * _END)))).alias("gram"))
-    lists = grams.groupBy("gram", F.expr(f"row div {LIST_ROWS}").alias("list")).agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    lists = grams.groupBy("gram", F.expr(f"row div {LIST_ROWS}").alias("list")).agg(F.sort_array(F.collect_list(F.expr(f"cast(row % {LIST_ROWS} as smallint)"))).alias("rows"))
     lists.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket", "list").sortWithinPartitions("bucket", "gram").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/grams")
 
 
+def _rows(lists: DataFrame) -> DataFrame:
+    """Numbers of the rows in lists, which have them from their own beginning on, in two bytes each."""
+    return lists.select("list", F.explode("rows").alias("n")).select((F.col("list") * LIST_ROWS + F.col("n")).alias("row"))
+
+
 def candidates(spark: SparkSession, path: str, term: str) -> DataFrame:
     """``row`` of all rows that have each trigram of the term, of a shorter one those with a trigram that it begins."""
     low, grams = term.lower(), spark.read.parquet(f"{path}/grams")
     if not low:
         raise ValueError("an empty term is everywhere")
     if len(low) < 3:
-        return grams.where(F.col("gram").startswith(low)).select(F.explode("rows").alias("row")).distinct()
+        return _rows(grams.where(F.col("gram").startswith(low))).distinct()
     need = sorted({low[k : k + 3] for k in range(len(low) - 2)})
     buckets = [r[0] for r in spark.createDataFrame([(g,) for g in need], "g string").select(_bucket(F.col("g"))).distinct().collect()]
     held = grams.where(F.col("bucket").isin(buckets) & F.col("gram").isin(need))
     full = held.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") == len(need)).select("list")  # a list without one of them has no such row
-    ids = held.join(full, "list", "left_semi").select(F.explode("rows").alias("row"))
-    return ids.groupBy("row").agg(F.count("*").alias("n")).where(F.col("n") == len(need)).select("row")
+    return _rows(held.join(full, "list", "left_semi")).groupBy("row").agg(F.count("*").alias("n")).where(F.col("n") == len(need)).select("row")
 
 
 def places(spark: SparkSession, path: str, term: str) -> DataFrame:
