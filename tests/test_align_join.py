@@ -83,3 +83,17 @@ def test_equal_blocks_pair_as_often_as_both_sides_have_them(spark):
     assert status.count("MOVED") == 2 and status.count("REMOVED") == 1
     pairs = sorted((r.n_a, r.n_b) for r in got if r.status == "MOVED")
     assert pairs[0][0] < pairs[1][0] and pairs[0][1] < pairs[1][1]
+
+
+def test_greedy_sections_and_repair_through_a_comparison(spark):
+    from deltadoc.plans.compare import compare_texts
+
+    a = "1. PAYMENT TERMS\n\nEach invoice is payable within 30 days.\n\n2. WARRANTY\n\nThe goods are free of defects.\n\n"
+    b = "1. PAYMENT TERMS\n\nEach invoice is payable within 45 days.\n\n2. WARRANTY\n\nThe goods are free of defects.\n\n3. INSURANCE\n\nThe cover is held by the supplier.\n\n"
+    pairs = spark.createDataFrame([(1, a, b)], "cmp_id int, text_a string, text_b string")
+    choices = spark.createDataFrame([(1, "s2", "s3", 0.9)], "cmp_id int, section_id_a string, choice string, confidence double")
+    rows = lambda c: sorted((r.status, r.section_id_a or "", r.section_id_b or "") for r in c.alignments.collect())
+    assert rows(compare_texts(pairs, mode="greedy")) == [("ADDED", "", "s3"), ("MATCHED", "s1", "s1"), ("MATCHED", "s2", "s2")]
+    got = compare_texts(pairs, choices=choices, arbitration="fixed")
+    assert rows(got) == [("ADDED", "", "s2"), ("MATCHED", "s1", "s1"), ("MATCHED", "s2", "s3")]
+    assert got.changes.where("section_b like '2 WARRANTY%' and type = 'SECTION_ADDED'").count() == 1
