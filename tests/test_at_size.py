@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from deltadoc.operators.assign import assign
 from deltadoc.operators.cut import cut
 
 
@@ -14,3 +15,16 @@ def test_joins_of_cut_rows_wait_for_measured_sizes(spark):
     texts = cut(spark.range(2000).select("id", F.repeat(F.lit("x"), 1000).alias("text")))
     assert "BroadcastHashJoin" not in plan_of(texts.join(texts.withColumnRenamed("text", "other"), "id"))
     assert "BroadcastHashJoin" in plan_of(texts.join(F.broadcast(texts.limit(1)), "id"))
+
+
+def test_problems_of_assignment_stream(spark):
+    """Each group is a chain of rivals whose best total leaves the best pair out, over several batches."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(30).select((F.col("id") % 10).alias("g"), F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("score")) for a, b, s in ((0, 0, 0.7), (0, 1, 0.9), (1, 1, 0.7))])).alias("x")).select("g", "x.*").distinct()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = assign(rows, ["g"], "a", "b", "score", 0.3)
+        assert "FlatMapGroupsInPandas" not in plan_of(found)
+        assert sorted(map(tuple, found.select("g", "a", "b").collect())) == sorted((g, k, k) for g in range(10) for k in (0, 1))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
