@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from deltadoc.operators.assign import assign
 from deltadoc.operators.cut import cut
+from deltadoc.sources import plain
 
 
 def plan_of(df):
@@ -28,3 +29,11 @@ def test_problems_of_assignment_stream(spark):
         assert sorted(map(tuple, found.select("g", "a", "b").collect())) == sorted((g, k, k) for g in range(10) for k in (0, 1))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_runners_are_found_without_joins(spark):
+    """One shuffle by document: blocks aren't made again for their counts."""
+    pages = spark.createDataFrame([(1, p, 2 * p + k, t) for p in range(1, 5) for k, t in enumerate(("Same head", f"page {p} has its own words."))] + [(2, p, p, "Same head") for p in (1, 2)], "doc_id int, page int, block_index int, text string")
+    left = plain.without_runners(plain.described(pages, unicode=False))
+    assert "Join" not in plan_of(left)
+    assert sorted((r.doc_id, r.block_index, r.text) for r in left.collect()) == [(1, p - 1, f"page {p} has its own words.") for p in range(1, 5)] + [(2, 0, "Same head"), (2, 1, "Same head")]
