@@ -145,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = 6000, seed: in
     ranker = bradley_terry(x, np.array([r.quality for r in rows], dtype=int))
     if not ranker.weights.any():
         return ranker
-    strengths = measured(texts.join(free, "doc_id"), ranker, "u", over=False).select("quality", "u")
+    # all texts are measured where they are read, as a join before it would shuffle them
+    strengths = measured(texts, ranker, "u", over=False).select("doc_id", "u").join(free, "doc_id")
     sums = strengths.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("bad"), F.percentile_approx("u", [k / 2000 for k in range(2001)], 100_000).alias("at")).first()
     # the quantile among 2001 ones, each to one part in 100,000
     ranker.threshold = float(np.interp(sums.bad / sums.n * 2000, range(2001), sums.at))
