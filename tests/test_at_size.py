@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from deltadoc.operators.assign import assign
 from deltadoc.operators.cut import cut
 from deltadoc.sources import plain
@@ -37,3 +38,10 @@ def test_runners_are_found_without_joins(spark):
     left = plain.without_runners(plain.described(pages, unicode=False))
     assert "Join" not in plan_of(left)
     assert sorted((r.doc_id, r.block_index, r.text) for r in left.collect()) == [(1, p - 1, f"page {p} has its own words.") for p in range(1, 5)] + [(2, 0, "Same head"), (2, 1, "Same head")]
+
+
+def test_table_pages_shuffle_lines_not_words(spark, sf_dir):
+    """Every word was shuffled seven times; now lines are dealt by order before they become words, and blocks are shuffled."""
+    plan = plan_of(entry.queries()["table_pages"](spark, sf_dir))
+    shuffles = [line for line in plan.splitlines() if "Exchange " in line]
+    assert sum("REPARTITION_BY_NUM" not in line for line in shuffles) <= 2 and "MergeJoin" not in plan and "HashJoin" not in plan
