@@ -9,6 +9,11 @@ looked for among all trigrams, without reading texts that lack it.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +24,8 @@ PART_ROWS = 1 << 16
 #: Rows in one list of a trigram, and parts that are named in a filter; with more all parts are read.
 LIST_ROWS, NAMED_PARTS = 1 << 14, 1000
 _END = "\x00"
+#: Characters of texts whose trigrams are sorted together.
+_PIECE = 1 << 22
 
 
 def entries(changes: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -28,10 +35,41 @@ def entries(changes: DataFrame, blocks: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct threes of neighbouring characters; a text of n has n - 2."""
-    of = lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
-    return F.array_distinct(F.transform(F.array(F.split(text, "")), of)[0])
+def _posted(rows: list[int], texts: list[str]) -> pa.RecordBatch:
+    """gram, list and rows of the trigrams of some texts, all of one list, with two end signs behind each text."""
+    codes = np.frombuffer("".join(t + 2 * _END for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    sizes = np.array([len(t) + 2 for t in texts])
+    own = np.repeat(np.array(rows) % LIST_ROWS, sizes)
+    begins = np.ones(len(codes), bool)
+    ends = np.cumsum(sizes)
+    begins[ends - 1] = begins[ends - 2] = False
+    at = np.flatnonzero(begins)
+    grams, own = codes[at] << 42 | codes[np.minimum(at + 1, len(codes) - 1)] << 21 | codes[np.minimum(at + 2, len(codes) - 1)], own[at]
+    order = np.argsort(grams, kind="stable")
+    grams, own = grams[order], own[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])
+    grams, own = grams[new], own[new]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.array([], int)
+    one = grams[first]
+    named = np.stack([one >> 42, one >> 21 & 0x1FFFFF, one & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(grams)), pa.int32()), pa.array(own.astype(np.int16)))
+    return pa.RecordBatch.from_arrays([pa.array([named[k : k + 3] for k in range(0, len(named), 3)], pa.string()), pa.array(np.full(len(first), rows[0] // LIST_ROWS)), lists], names=["gram", "list", "rows"])
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of row and hay, for some rows of a list at a time."""
+    rows, texts, size = [], [], 0
+    for batch in batches:
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if rows and (size > _PIECE or row // LIST_ROWS != rows[0] // LIST_ROWS):
+                yield _posted(rows, texts)
+                rows, texts, size = [], [], 0
+            rows.append(row)
+            texts.append(text)
+            size += len(text)
+    if rows:
+        yield _posted(rows, texts)
 
 
 def _bucket(gram: Column) -> Column:
@@ -41,14 +79,15 @@ def _bucket(gram: Column) -> Column:
 def write_index(rows: DataFrame, path: str) -> None:
     """Writes the index of ``rows`` (with ``hay``; null has no place) to a new folder.
 
-    A trigram's rows are lists of a bounded length, so a common one is many rows of its bucket.
+    A trigram's rows are lists of a bounded length, so a common one is many rows of its bucket. Tasks make pieces of lists,
+    two bytes a row, and only these are shuffled.
     """
     spark = rows.sparkSession
     numbered = rows.where("hay is not null").withColumn("row", F.monotonically_increasing_id())
     numbered.withColumn("part", F.expr(f"row div {PART_ROWS}")).write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/rows")
     stored = spark.read.parquet(f"{path}/rows")
-    grams = stored.select("row", F.explode(trigrams(F.concat("hay", F.lit(2 * _END)))).alias("gram"))
-    lists = grams.groupBy("gram", F.expr(f"row div {LIST_ROWS}").alias("list")).agg(F.sort_array(F.collect_list(F.expr(f"cast(row % {LIST_ROWS} as smallint)"))).alias("rows"))
+    pieces = stored.select("row", "hay").mapInArrow(_pieces, "gram string, list long, rows array<smallint>")
+    lists = pieces.groupBy("gram", "list").agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"))
     lists.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket", "list").sortWithinPartitions("bucket", "gram").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/grams")
 
 
@@ -73,12 +112,21 @@ def candidates(spark: SparkSession, path: str, term: str) -> DataFrame:
 
 def places(spark: SparkSession, path: str, term: str) -> DataFrame:
     """All rows of the index in which the term occurs, whatever its case."""
-    found = candidates(spark, path, term).withColumn("part", F.expr(f"row div {PART_ROWS}"))
+    return places_of(spark, path, [term]).drop("term")
+
+
+def places_of(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """``places`` of some terms with the ``term``; a row is read and joined once for all of them."""
+    each = [candidates(spark, path, t).withColumn("_t", F.lit(k)) for k, t in enumerate(terms)]
+    found = reduce(DataFrame.unionByName, each).groupBy("row").agg(F.collect_list("_t").alias("_t")).withColumn("part", F.expr(f"row div {PART_ROWS}"))
     parts = [r[0] for r in found.select("part").distinct().limit(NAMED_PARTS + 1).collect()]
     rows = spark.read.parquet(f"{path}/rows")
     if len(parts) <= NAMED_PARTS:
         rows = rows.where(F.col("part").isin(parts))
-    return rows.join(found.select("row"), "row", "left_semi").where(F.contains("hay", F.lit(term.lower()))).drop("row", "part", "hay")
+    rows = rows.drop("part").join(found.select("row", "_t"), "row")
+    named = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low")) for t in terms])
+    rows = rows.withColumn("_t", F.explode("_t")).withColumn("_t", F.get(named, F.col("_t")))
+    return rows.where(F.contains("hay", F.col("_t.low"))).withColumn("term", F.col("_t.term")).drop("row", "hay", "_t")
 
 
 def search(spark: SparkSession, path: str, term: str, limit: int = 50) -> DataFrame:

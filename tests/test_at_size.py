@@ -1,10 +1,14 @@
 """What keeps steps within their limits on large tables, held on small ones."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from deltadoc.functions import entities
 from deltadoc.operators.assign import assign
 from deltadoc.operators.cut import cut
+from deltadoc.operators.segment import sections_of
+from deltadoc.plans import search
 from deltadoc.sources import plain
 
 
@@ -45,3 +49,41 @@ def test_table_pages_shuffle_lines_not_words(spark, sf_dir):
     plan = plan_of(entry.queries()["table_pages"](spark, sf_dir))
     shuffles = [line for line in plan.splitlines() if "Exchange " in line]
     assert sum("REPARTITION_BY_NUM" not in line for line in shuffles) <= 2 and "MergeJoin" not in plan and "HashJoin" not in plan
+
+
+def test_equal_texts_are_read_once(monkeypatch):
+    """Each text was read, and its values went through a row of Python objects."""
+    read = []
+    monkeypatch.setattr(entities, "_spans", lambda t, first, real=entities._spans: read.append(t) or real(t, first))
+    texts = pa.array(["within 10 days", None, "none", "within 10 days", "5% and 30 days"])
+    found = entities._span_lists(texts, True).to_pylist()
+    assert sorted(read) == ["5% and 30 days", "none", "within 10 days"]
+    assert [[(v["family"], v["value_num"], v["char_start"]) for v in own or ()] for own in found] == [[("DURATION", 10.0, 7)], [], [], [("DURATION", 10.0, 7)], [("PERCENT", 5.0, 0), ("DURATION", 30.0, 7)]]
+
+
+def test_terms_and_classes_are_made_once(spark, sf_dir):
+    """Terms of all texts were made four times, for two counts with a filter each, and normalized texts likewise."""
+    for name in ("term_weights", "identical_classes"):
+        assert "regexp" not in plan_of(entry.queries()[name](spark, sf_dir))
+
+
+def test_sections_without_joins(spark):
+    """Headings, last pages and preambles were branches of their own that joins put together."""
+    rows = [(1, 3, 0, "it begins here."), (1, 2, 1, "so it does."), (1, 1, 2, "1. Scope"), (1, 4, 3, "it is wide."), (1, 2, 4, "1.1 Place"), (1, 5, 5, "it is here."), (2, 1, 0, "no heading at all.")]
+    blocks = plain.described(spark.createDataFrame(rows, "doc_id int, page int, block_index int, text string"), unicode=False)
+    sections = sections_of(blocks, unicode=False)[1]
+    assert "Join" not in plan_of(sections).replace("array_join", "")
+    assert sorted((r.doc_id, r.section_id, r.level, r.start_page, r.end_page, r.path, r.parent_id) for r in sections.collect()) == [
+        (1, "s0", 0, 1, 3, "(preamble)", None), (1, "s1", 1, 1, 5, "1 Scope", None), (1, "s2", 2, 2, 5, "1 Scope > 1.1 Place", "s1"), (2, "s0", 0, 1, 1, "(preamble)", None),
+    ]
+
+
+def test_terms_share_one_reading_of_rows(spark, tmp_path):
+    """Each term had a shuffle of all texts of its own; postings were rows, not lists, when they were shuffled."""
+    path = str(tmp_path / "i")
+    texts = ["alpha beta", "", "b", "béta 𝒳y", "alpha", None] * 3
+    search.write_index(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, hay string").repartition(2), path)
+    found = search.places_of(spark, path, ["beta", "b", "𝒳Y", "alp"])
+    assert plan_of(found).count(f"{path}/rows") == 1
+    want = sorted((t, k) for t in ("beta", "b", "𝒳Y", "alp") for k, text in enumerate(texts) if text and t.lower() in text)
+    assert sorted((r.term, r.k) for r in found.collect()) == want
