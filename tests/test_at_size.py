@@ -9,6 +9,7 @@ from deltadoc.operators.assign import assign
 from deltadoc.operators.cut import cut
 from deltadoc.operators.segment import sections_of
 from deltadoc.plans import search
+from deltadoc.plans.compare import compare_texts
 from deltadoc.sources import plain
 
 
@@ -87,3 +88,10 @@ def test_terms_share_one_reading_of_rows(spark, tmp_path):
     assert plan_of(found).count(f"{path}/rows") == 1
     want = sorted((t, k) for t in ("beta", "b", "𝒳Y", "alp") for k, text in enumerate(texts) if text and t.lower() in text)
     assert sorted((r.term, r.k) for r in found.collect()) == want
+
+
+def test_a_comparison_joins_its_blocks_once(spark):
+    """Every step that read blocks, sections or values joined them with the pairs again."""
+    made = compare_texts(spark.createDataFrame([(1, "1. FEES\n\nThe fee is $10.", "1. FEES\n\nThe fee is $20.")], "cmp_id int, text_a string, text_b string"), unicode=False)
+    assert not any(join in plan_of(t) for t in (made.blocks, made.sections, made.entities) for join in ("MergeJoin", "HashJoin"))
+    assert [r.direction for r in made.changes.collect()] == ["amount_increased"]
